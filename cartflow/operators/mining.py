@@ -12,7 +12,7 @@ import time
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import SparkRuntimeException
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,7 +103,9 @@ def frequent_itemsets(
     training: DataFrame, min_support: float, cap: int | None = MAX_ITEMSETS, partitions: int | None = None
 ) -> DataFrame:
     """Itemsets in at least `min_support` of the baskets: `(items, freq)`, items ascending."""
-    miner = FPGrowth(itemsCol="items", minSupport=min_support, numPartitions=partitions)
+    miner = FPGrowth(itemsCol="items", minSupport=min_support)
+    if partitions:
+        miner = miner.setNumPartitions(partitions)
     found = miner.fit(training.select("items")).freqItemsets
     return within_cap(found.select(F.sort_array("items").alias("items"), "freq"), cap, "itemsets")
 
@@ -282,7 +284,7 @@ def mine_grid(
             itemsets = frequent_itemsets(training, support, max_itemsets, partitions)
             found = association_rules(itemsets, baskets, min(grid.confidences))
             rules = within_cap(found, max_rules, "rules")
-        except (GrowthLimitExceeded, PySparkException, Py4JJavaError) as error:
+        except (GrowthLimitExceeded, SparkRuntimeException, Py4JJavaError) as error:
             skipped[support] = f"{type(error).__name__}: {error}"[:500]
             continue
         seconds = time.perf_counter() - started

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "cartflow", master: str | None = None, **conf) -> SparkSession:
@@ -51,3 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_within(stored: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast of a stored table only when its row count is within `max_rows`.
+
+    Above it the hint is left out and Spark shuffles both sides, splitting skewed partitions as it goes.
+    """
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -37,19 +37,19 @@ class TableSpec:
 
 
 # The source layout of the retail tables and the bounds of their columns.
-AISLES = {"aisle_id": "int", "aisle": "string"}
-DEPARTMENTS = {"department_id": "int", "department": "string"}
-PRODUCTS = {"product_id": "int", "product_name": "string", "aisle_id": "int", "department_id": "int"}
+AISLES = {"aisle_id": "integer", "aisle": "string"}
+DEPARTMENTS = {"department_id": "integer", "department": "string"}
+PRODUCTS = {"product_id": "integer", "product_name": "string", "aisle_id": "integer", "department_id": "integer"}
 ORDERS = {
-    "order_id": "int",
-    "user_id": "int",
+    "order_id": "integer",
+    "user_id": "integer",
     "eval_set": "string",
-    "order_number": "int",
-    "order_dow": "int",
-    "order_hour_of_day": "int",
+    "order_number": "integer",
+    "order_dow": "integer",
+    "order_hour_of_day": "integer",
     "days_since_prior_order": "double",
 }
-ORDER_PRODUCTS = {"order_id": "int", "product_id": "int", "add_to_cart_order": "int", "reordered": "int"}
+ORDER_PRODUCTS = {"order_id": "integer", "product_id": "integer", "add_to_cart_order": "integer", "reordered": "integer"}
 LAYOUT = {
     "aisles": ("aisles.csv", AISLES, ("aisle_id",)),
     "departments": ("departments.csv", DEPARTMENTS, ("department_id",)),
@@ -82,15 +82,15 @@ def value_rule(name: str) -> Callable[[], Column]:
     }.get(name, lambda: checks.blank(name))
 
 
-def declared_schema(columns: dict[str, str], id_type: str = "int") -> T.StructType:
+def declared_schema(columns: dict[str, str], id_type: str = "integer") -> T.StructType:
     schema = T.StructType()
     for name, kind in columns.items():
         schema = schema.add(name, id_type if name.endswith("_id") else kind, nullable=True)
     return schema
 
 
-def table_specs(id_type: str = "int") -> dict[str, TableSpec]:
-    """All source tables by name. `id_type="bigint"` serves key ranges beyond 32 bits."""
+def table_specs(id_type: str = "integer") -> dict[str, TableSpec]:
+    """All source tables by name. `id_type="long"` serves key ranges beyond 32 bits."""
     specs = {}
     for name, (file, columns, keys) in LAYOUT.items():
         rules = {column: value_rule(column) for column in columns}
