@@ -33,7 +33,7 @@ def kpi_baskets(baskets: DataFrame) -> DataFrame:
     return sizes.agg(
         F.coalesce(F.sum("count"), F.lit(0)).alias("observed_baskets"),
         (F.sum(F.col("basket_size") * F.col("count")) / F.sum("count")).alias("avg_basket_size"),
-        F.percentile("basket_size", 0.5, "count").alias("median_basket_size"),
+        F.percentile("basket_size", 0.5, F.col("count")).alias("median_basket_size"),
         F.sum(F.col("basket_size") * F.col("count")).alias("basket_item_total"),
     )
 
