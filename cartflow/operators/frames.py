@@ -25,15 +25,3 @@ def unpivot_counts(wide: DataFrame, entries: list[tuple[tuple[str, ...], Column]
         for texts, value in entries
     ]
     return wide.select(F.inline(F.array(*rows)))
-
-
-def agree(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
-    """Compare two one-value frames: `(check, left_value, right_value, ok)`."""
-    left_value = left.select(F.col(left.columns[0]).cast("long").alias("left_value"))
-    right_value = right.select(F.col(right.columns[0]).cast("long").alias("right_value"))
-    return beside(left_value, right_value).select(
-        F.lit(name).alias("check"),
-        "left_value",
-        "right_value",
-        F.col("left_value").eqNullSafe(F.col("right_value")).alias("ok"),
-    )

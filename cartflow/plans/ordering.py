@@ -34,44 +34,47 @@ def number_within(
 ) -> DataFrame:
     """Add `position`, from 1 within `key` by (`day`, `id_column`), and `previous`, the day one position before.
 
-    An ordinary key is one window group. A hot key is cut into slices by day and id range that follow the
-    order; the slices are numbered on their own, and a running total over the slice sizes shifts them. The
-    hot keys are few by construction, so they are broadcast.
+    One narrow count per key decides: without hot keys, every key is a window group of at most `hot_rows` rows.
     """
-    hot = F.broadcast(hot_keys(df, key, hot_rows).withColumn("is_hot", F.lit(True)))
-    slice_day, slice_id = F.col("slice_day"), F.col("slice_id")
-    cut = (
-        df.join(hot, key, "left")
-        .withColumn("slice_day", F.when(F.col("is_hot"), F.col(day)))
-        .withColumn("slice_id", F.when(F.col("is_hot"), _id_slice(df, id_column, slices)))
+    hot = hot_keys(df, key, hot_rows)
+    if hot.isEmpty():
+        order = Window.partitionBy(key).orderBy(day, id_column)
+        return df.withColumns(
+            {"position": F.row_number().over(order), "previous": F.lag(day).over(order)}
+        )
+    return _number_in_slices(df, hot, key, day, id_column, slices)
+
+
+def _number_in_slices(
+    df: DataFrame, hot: DataFrame, key: str, day: str, id_column: str, slices: int
+) -> DataFrame:
+    """Number hot keys slice by slice, the other keys as one slice each.
+
+    Slices are cut by day and id range and follow the order. Each is numbered on its own, and a running total
+    over the slice sizes shifts it. The hot keys are few by construction, so they are broadcast.
+    """
+    hot = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    id_slice = _id_slice(df, id_column, slices)
+    cut = df.join(hot, key, "left").withColumns(
+        {"slice_day": F.when(F.col("is_hot"), F.col(day)), "slice_id": F.when(F.col("is_hot"), id_slice)}
     )
     in_slice = Window.partitionBy(key, "slice_day", "slice_id").orderBy(day, id_column)
-    numbered = cut.withColumns(
-        {"in_slice": F.row_number().over(in_slice), "before": F.lag(day).over(in_slice)}
-    )
+    numbered = cut.withColumns({"in_slice": F.row_number().over(in_slice), "before": F.lag(day).over(in_slice)})
 
+    slice_keys = [key, "slice_day", "slice_id"]
     sizes = (
         df.join(hot, key)
-        .select(key, F.col(day).alias("slice_day"), _id_slice(df, id_column, slices).alias("slice_id"))
-        .groupBy(key, "slice_day", "slice_id")
+        .groupBy(key, F.col(day).alias("slice_day"), id_slice.alias("slice_id"))
         .agg(F.count(F.lit(1)).alias("size"))
     )
     by_slice = Window.partitionBy(key).orderBy("slice_day", "slice_id")
     shifts = sizes.select(
-        key,
-        "slice_day",
-        "slice_id",
+        *slice_keys,
         (F.sum("size").over(by_slice) - F.col("size")).alias("shift"),
         F.lag("slice_day").over(by_slice).alias("day_before"),
     )
-    s = shifts.select(*[F.col(c).alias(f"s_{c}") for c in shifts.columns])
-    same_slice = (
-        (F.col(key) == F.col(f"s_{key}"))
-        & (slice_day == F.col("s_slice_day"))
-        & (slice_id == F.col("s_slice_id"))
-    )
-    return numbered.join(s, same_slice, "left").select(
-        *df.columns,
-        (F.col("in_slice") + F.coalesce("s_shift", F.lit(0))).cast("int").alias("position"),
-        F.coalesce("before", "s_day_before").alias("previous"),
+    return numbered.join(shifts, slice_keys, "left").select(
+        *[numbered[c] for c in df.columns],
+        (F.col("in_slice") + F.coalesce("shift", F.lit(0))).cast("int").alias("position"),
+        F.coalesce("before", "day_before").alias("previous"),
     )

@@ -124,7 +124,7 @@ def retail_tables(r: Retail) -> dict[str, DataFrame]:
         "aisles": r.aisles,
         "departments": r.departments,
         "products": r.products,
-        "orders": r.orders,
+        "orders": r.stored_orders,
         "order_products_prior": r.split_items("prior"),
         "order_products_train": r.split_items("train"),
     }
@@ -217,8 +217,10 @@ def table_status(r: Retail) -> DataFrame:
 def reconcile_rows(r: Retail) -> DataFrame:
     return stack(
         [
-            quality.reconcile_rows(r.order_lines, r.order_items, "order_items"),
-            quality.reconcile_rows(r.order_items, r.enriched, "order_items_enriched"),
+            quality.reconcile_rows(r.order_lines, r.silver_items, "order_items"),
+            quality.reconcile_rows(
+                r.silver_items, silver.order_items_enriched(r.silver_items, r.product_dim), "order_items_enriched"
+            ),
             quality.reconcile_rows(r.source("lineitem"), r.order_lines, "order_lines"),
         ]
     )
@@ -286,8 +288,8 @@ def invalid_lookup(r: Retail) -> DataFrame:
 
 @query
 def kpi_reconciliation(r: Retail) -> DataFrame:
-    orders, baskets = r.stored_orders, r.baskets
-    row = kpi.kpi_summary(orders, r.order_items, baskets, r.product_dim)
+    orders, baskets = r.stored_orders, silver.baskets(r.silver_items, r.stored_orders)
+    row = kpi.kpi_summary(orders, r.silver_items, baskets, r.product_dim)
     per_user = kpi.orders_per_user_histogram(orders)
     return quality.kpi_reconciliation(
         row,
@@ -296,7 +298,7 @@ def kpi_reconciliation(r: Retail) -> DataFrame:
             "total_orders/weekdays": kpi.count_by(orders, "order_dow").agg(F.sum("count")),
             "total_orders/users": per_user.agg(F.sum(F.col("orders_per_user") * F.col("user_count"))),
             "total_users/users": per_user.agg(F.sum("user_count")),
-            "total_order_items/departments": kpi.reorder_by_department(r.order_items, r.product_dim).agg(
+            "total_order_items/departments": kpi.reorder_by_department(r.silver_items, r.product_dim).agg(
                 F.sum("item_count")
             ),
             "total_order_items/baskets": baskets.agg(F.sum("basket_size")),
@@ -318,12 +320,12 @@ def training_leakage(r: Retail) -> DataFrame:
 
 @query
 def weighted_rate_check(r: Retail) -> DataFrame:
-    groups = kpi.reorder_by_department(r.order_items, r.product_dim)
+    groups = kpi.reorder_by_department(r.silver_items, r.product_dim)
     recomputed = quality.weighted_rate(groups, "reordered_items", "item_count")
     return stack(
         [
             labelled(recomputed, "source", "departments"),
-            labelled(r.order_items.agg(F.avg("reordered").alias("rate")), "source", "items"),
+            labelled(r.silver_items.agg(F.avg("reordered").alias("rate")), "source", "items"),
         ]
     )
 
@@ -392,8 +394,9 @@ def kpi_baskets(r: Retail) -> DataFrame:
 
 @query
 def kpi_derived(r: Retail) -> DataFrame:
+    orders, items = r.stored_orders, r.silver_items
     return kpi.kpi_derived(
-        kpi.kpi_orders(r.orders), kpi.kpi_items(r.order_items), kpi.kpi_baskets(r.baskets), r.products
+        kpi.kpi_orders(orders), kpi.kpi_items(items), kpi.kpi_baskets(silver.baskets(items, orders)), r.products
     )
 
 
@@ -441,8 +444,10 @@ def orders_per_user_histogram(r: Retail) -> DataFrame:
 @query
 def peak_with_ties(r: Retail) -> DataFrame:
     """The weekday with most orders, and the basket size that is most frequent."""
-    days = kpi.peak_with_ties(kpi.count_by(r.orders, "order_dow"), "order_dow")
-    sizes = kpi.peak_with_ties(kpi.count_by(r.baskets, "basket_size"), "basket_size")
+    orders = r.stored_orders
+    days = kpi.peak_with_ties(kpi.count_by(orders, "order_dow"), "order_dow")
+    sizes = kpi.count_by(silver.baskets(r.order_lines, orders), "basket_size")
+    sizes = kpi.peak_with_ties(sizes, "basket_size")
     names = ["key", "count", "ties", "first_key"]
     return stack([labelled(days.toDF(*names), "of", "weekday"), labelled(sizes.toDF(*names), "of", "basket size")])
 
@@ -465,19 +470,21 @@ def most_purchased(r: Retail) -> DataFrame:
 
 @query
 def kpi_summary(r: Retail) -> DataFrame:
-    return kpi.kpi_summary(r.orders, r.order_items, r.baskets, r.product_dim)
+    orders, items = r.stored_orders, r.silver_items
+    return kpi.kpi_summary(orders, items, silver.baskets(items, orders), r.product_dim)
 
 
 @query
 def layer_row_counts(r: Retail) -> DataFrame:
+    items, orders = r.silver_items, r.stored_orders
     parts = [r.split_items("prior"), r.split_items("train")]
     return kpi.layer_row_counts(
         [
-            ("silver", "orders", [r.source("orders")], r.orders),
+            ("silver", "orders", [r.source("orders")], orders),
             ("silver", "products", [r.source("part")], r.product_dim),
-            ("silver", "order_items", parts, r.order_items),
-            ("silver", "order_items_enriched", [r.order_items], r.enriched),
-            ("silver", "baskets", [r.order_items], r.baskets),
+            ("silver", "order_items", parts, items),
+            ("silver", "order_items_enriched", [items], silver.order_items_enriched(items, r.product_dim)),
+            ("silver", "baskets", [items], silver.baskets(items, orders)),
             ("gold", "training_baskets", [r.stored_baskets], r.stored_training),
         ]
     )
@@ -592,9 +599,7 @@ def match_rules(r: Retail) -> DataFrame:
 @query
 def exclude_owned(r: Retail) -> DataFrame:
     """The most popular departments as candidates for every user, minus those in the last basket."""
-    offers = recommend.popular_items(r.line_departments, "department_id").agg(
-        F.sort_array(F.collect_list("product_id"))
-    )
+    offers = r.popular.agg(F.sort_array(F.collect_list("product_id")))
     candidates = r.contexts.select("user_id", F.explode(offers.scalar()).alias("product_id"))
     return recommend.exclude_owned(candidates, r.contexts)
 

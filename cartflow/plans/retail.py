@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartflow.operators import mining, recommend, silver
+from cartflow.operators import kpi, mining, recommend, silver
 from cartflow.operators.mining import Grid, MinedGrid
 from cartflow.plans.ordering import HOT_KEY_ROWS, number_within
 from cartflow.session import materialize
@@ -48,49 +48,60 @@ class Retail:
 
     @cached_property
     def orders(self) -> DataFrame:
-        """All orders. The last observed order of a user with two or more is `train`; unobserved ones are `test`."""
+        """All orders. The last observed order of a user with two or more is `train`; unobserved ones are `test`.
+
+        The orders are shuffled twice, by order to see which have lines and by user to number them; the last
+        order per user comes from a grouping that shares the second partitioning.
+        """
         placed = self.source("orders").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("user_id"),
             F.col("o_orderdate").alias("placed"),
         )
-        numbered = number_within(placed, "user_id", "placed", "order_id", self.hot_rows)
         observed = (
             self.source("lineitem")
             .select(F.col("l_orderkey").alias("order_id"))
             .distinct()
             .withColumn("observed", F.lit(True))
         )
-        marked = numbered.join(observed, "order_id", "left")
-        last = (
-            marked.where("observed")
-            .groupBy("user_id")
-            .agg(F.max_by("order_id", "position").alias("order_id"), F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") >= 2)
-            .select("order_id", F.lit(True).alias("is_last"))
+        seen = placed.join(observed, "order_id", "left")
+        last = seen.groupBy("user_id").agg(
+            F.max_by("order_id", F.when(F.col("observed"), F.struct("placed", "order_id"))).alias("last_order"),
+            F.count("observed").alias("observed_orders"),
         )
+        is_last = (F.col("observed_orders") >= 2) & (F.col("order_id") == F.col("last_order"))
         gap = F.least(F.date_diff("placed", "previous"), F.lit(MAX_GAP_DAYS)).cast("double")
-        return marked.join(last, "order_id", "left").select(
+        numbered = number_within(seen, "user_id", "placed", "order_id", self.hot_rows)
+        return numbered.join(last, "user_id").select(
             "order_id",
             "user_id",
-            F.when(F.col("observed").isNull(), "test")
-            .when(F.col("is_last"), "train")
-            .otherwise("prior")
-            .alias("eval_set"),
+            F.when(F.col("observed").isNull(), "test").when(is_last, "train").otherwise("prior").alias("eval_set"),
             F.col("position").alias("order_number"),
             (F.dayofweek("placed") - 1).alias("order_dow"),
             F.hour("placed").alias("order_hour_of_day"),
             F.when(F.col("previous").isNotNull(), gap).alias("days_since_prior_order"),
         )
 
+    @cached_property
+    def stored_orders(self) -> DataFrame:
+        return materialize(self.orders, "orders")
+
+    @cached_property
+    def stored_lines(self) -> DataFrame:
+        """Stored: order lines with the user, position and split of their order. Two steps read them."""
+        owners = self.orders.select("order_id", "user_id", "order_number", "eval_set")
+        return materialize(self.order_lines.join(owners, "order_id"), "lines")
+
     @cached_property
     def items(self) -> DataFrame:
-        """Order items; `reordered` marks a product that the user bought in an earlier order."""
-        bought = self.order_lines.join(
-            self.orders.select("order_id", "user_id", "order_number", "eval_set"), "order_id"
-        )
-        first = bought.groupBy("user_id", "product_id").agg(F.min("order_number").alias("first_order"))
-        return bought.join(first, ["user_id", "product_id"]).select(
+        """Order items; `reordered` marks a product that the user bought in an earlier order.
+
+        The first order per user and product is a grouping, not a window: a pair with very many rows stays a
+        partial minimum, and the join back can split it.
+        """
+        lines = self.stored_lines
+        first = lines.groupBy("user_id", "product_id").agg(F.min("order_number").alias("first_order"))
+        return lines.join(first, ["user_id", "product_id"]).select(
             "order_id",
             "product_id",
             "add_to_cart_order",
@@ -98,13 +109,23 @@ class Retail:
             "eval_set",
         )
 
+    @cached_property
+    def stored_items(self) -> DataFrame:
+        return materialize(self.items, "items")
+
     def split_items(self, eval_set: str) -> DataFrame:
-        return self.items.where(F.col("eval_set") == eval_set).drop("eval_set")
+        """The items of one split, read from the stored items."""
+        return self.stored_items.where(F.col("eval_set") == eval_set).drop("eval_set")
 
     @cached_property
     def order_items(self) -> DataFrame:
         return self.items.drop("eval_set")
 
+    @cached_property
+    def silver_items(self) -> DataFrame:
+        """`order_items` from storage, for plans that read them more than once."""
+        return self.stored_items.drop("eval_set")
+
     @cached_property
     def aisles(self) -> DataFrame:
         """One aisle per part type, identified by its first part."""
@@ -150,10 +171,6 @@ class Retail:
     def baskets(self) -> DataFrame:
         return silver.baskets(self.order_lines, self.orders)
 
-    @cached_property
-    def stored_orders(self) -> DataFrame:
-        return materialize(self.orders, "orders")
-
     @cached_property
     def line_departments(self) -> DataFrame:
         """Order lines with the department of their product."""
@@ -205,7 +222,9 @@ class Retail:
 
     @cached_property
     def popular(self) -> DataFrame:
-        return recommend.popular_items(self.line_departments, "department_id")
+        """The most purchased departments: counted per product first, then per department."""
+        top = kpi.top_departments(self.order_lines, self.product_dim, recommend.POPULAR)
+        return top.select(F.col("department_id").cast("int").alias("product_id"), "count")
 
     @cached_property
     def rule_index(self) -> DataFrame:
