@@ -29,24 +29,40 @@ def number_within(
     key: str,
     day: str,
     id_column: str,
+    mark: str,
     hot_rows: int = HOT_KEY_ROWS,
     slices: int = ID_SLICES,
+    narrow: DataFrame | None = None,
 ) -> DataFrame:
-    """Add `position`, from 1 within `key` by (`day`, `id_column`), and `previous`, the day one position before.
+    """Order the rows of each key by (`day`, `id_column`) and add four columns.
 
-    One narrow count per key decides: without hot keys, every key is a window group of at most `hot_rows` rows.
+    `position` counts from 1, `previous` is the day one position before, `marked` is the number of rows whose
+    `mark` is not null, and `last_marked` the id of the last of them.
+
+    One count per key decides the plan: without hot keys, every key is a window group of at most `hot_rows`
+    rows. `narrow` may name a cheaper frame with the same keys, days and ids to count on.
     """
-    hot = hot_keys(df, key, hot_rows)
-    if hot.isEmpty():
-        order = Window.partitionBy(key).orderBy(day, id_column)
-        return df.withColumns(
-            {"position": F.row_number().over(order), "previous": F.lag(day).over(order)}
-        )
-    return _number_in_slices(df, hot, key, day, id_column, slices)
+    narrow = df if narrow is None else narrow
+    hot = hot_keys(narrow, key, hot_rows)
+    when_marked = F.when(F.col(mark).isNotNull(), F.struct(day, id_column))
+    if not hot.isEmpty():
+        last = df.groupBy(key).agg(F.count(mark).alias("marked"), F.max(when_marked).alias("last"))
+        numbered = _number_in_slices(df, hot, key, day, id_column, slices, narrow)
+        return numbered.join(last, key).withColumn("last_marked", F.col(f"last.{id_column}")).drop("last")
+    group = Window.partitionBy(key)
+    order = group.orderBy(day, id_column)
+    return df.withColumns(
+        {
+            "position": F.row_number().over(order),
+            "previous": F.lag(day).over(order),
+            "marked": F.count(mark).over(group),
+            "last_marked": F.max(when_marked).over(group)[id_column],
+        }
+    )
 
 
 def _number_in_slices(
-    df: DataFrame, hot: DataFrame, key: str, day: str, id_column: str, slices: int
+    df: DataFrame, hot: DataFrame, key: str, day: str, id_column: str, slices: int, narrow: DataFrame
 ) -> DataFrame:
     """Number hot keys slice by slice, the other keys as one slice each.
 
@@ -54,7 +70,7 @@ def _number_in_slices(
     over the slice sizes shifts it. The hot keys are few by construction, so they are broadcast.
     """
     hot = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
-    id_slice = _id_slice(df, id_column, slices)
+    id_slice = _id_slice(narrow, id_column, slices)
     cut = df.join(hot, key, "left").withColumns(
         {"slice_day": F.when(F.col("is_hot"), F.col(day)), "slice_id": F.when(F.col("is_hot"), id_slice)}
     )
@@ -63,7 +79,7 @@ def _number_in_slices(
 
     slice_keys = [key, "slice_day", "slice_id"]
     sizes = (
-        df.join(hot, key)
+        narrow.join(hot, key)
         .groupBy(key, F.col(day).alias("slice_day"), id_slice.alias("slice_id"))
         .agg(F.count(F.lit(1)).alias("size"))
     )

@@ -18,6 +18,7 @@ from cartflow.plans.retail import FINAL, GRID, Retail
 from cartflow.session import materialize, scratch_path
 from cartflow.sources import files, sampling
 
+BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 RUN_ID = "run_1"
@@ -26,6 +27,7 @@ DIGITS = 9
 
 
 def query(build: Callable[[Retail], DataFrame]) -> Callable[[Retail], DataFrame]:
+    BUILDERS[build.__name__] = build
     QUERIES[build.__name__] = lambda spark, folder: build(Retail(spark, folder))
     return build
 
@@ -446,7 +448,7 @@ def peak_with_ties(r: Retail) -> DataFrame:
     """The weekday with most orders, and the basket size that is most frequent."""
     orders = r.stored_orders
     days = kpi.peak_with_ties(kpi.count_by(orders, "order_dow"), "order_dow")
-    sizes = kpi.count_by(silver.baskets(r.order_lines, orders), "basket_size")
+    sizes = kpi.count_by(silver.baskets(r.raw_lines, orders), "basket_size")
     sizes = kpi.peak_with_ties(sizes, "basket_size")
     names = ["key", "count", "ties", "first_key"]
     return stack([labelled(days.toDF(*names), "of", "weekday"), labelled(sizes.toDF(*names), "of", "basket size")])

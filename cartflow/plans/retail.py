@@ -33,9 +33,19 @@ class Retail:
         self.folder = folder.rstrip("/")
         self.hot_rows = hot_rows
         self.specs = table_specs("long")
+        self._sources: dict[str, DataFrame] = {}
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._sources:
+            self._sources[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._sources[name]
+
+    @cached_property
+    def raw_lines(self) -> DataFrame:
+        """Order and product of every line, repeats included; enough where sets are built anyway."""
+        return self.source("lineitem").select(
+            F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id")
+        )
 
     @cached_property
     def order_lines(self) -> DataFrame:
@@ -50,29 +60,21 @@ class Retail:
     def orders(self) -> DataFrame:
         """All orders. The last observed order of a user with two or more is `train`; unobserved ones are `test`.
 
-        The orders are shuffled twice, by order to see which have lines and by user to number them; the last
-        order per user comes from a grouping that shares the second partitioning.
+        The orders are shuffled twice: by order to see which have lines, and by user to number them.
         """
         placed = self.source("orders").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_custkey").alias("user_id"),
             F.col("o_orderdate").alias("placed"),
         )
-        observed = (
-            self.source("lineitem")
-            .select(F.col("l_orderkey").alias("order_id"))
-            .distinct()
-            .withColumn("observed", F.lit(True))
-        )
+        observed = self.raw_lines.select("order_id").distinct().withColumn("observed", F.lit(True))
         seen = placed.join(observed, "order_id", "left")
-        last = seen.groupBy("user_id").agg(
-            F.max_by("order_id", F.when(F.col("observed"), F.struct("placed", "order_id"))).alias("last_order"),
-            F.count("observed").alias("observed_orders"),
+        numbered = number_within(
+            seen, "user_id", "placed", "order_id", mark="observed", hot_rows=self.hot_rows, narrow=placed
         )
-        is_last = (F.col("observed_orders") >= 2) & (F.col("order_id") == F.col("last_order"))
+        is_last = (F.col("marked") >= 2) & (F.col("order_id") == F.col("last_marked"))
         gap = F.least(F.date_diff("placed", "previous"), F.lit(MAX_GAP_DAYS)).cast("double")
-        numbered = number_within(seen, "user_id", "placed", "order_id", self.hot_rows)
-        return numbered.join(last, "user_id").select(
+        return numbered.select(
             "order_id",
             "user_id",
             F.when(F.col("observed").isNull(), "test").when(is_last, "train").otherwise("prior").alias("eval_set"),
@@ -169,15 +171,15 @@ class Retail:
 
     @cached_property
     def baskets(self) -> DataFrame:
-        return silver.baskets(self.order_lines, self.orders)
+        return silver.baskets(self.raw_lines, self.orders)
 
     @cached_property
     def line_departments(self) -> DataFrame:
-        """Order lines with the department of their product."""
+        """The department of every order line."""
         brands = self.source("part").select(
             F.col("p_partkey").alias("product_id"), self._brand().cast("int").alias("department_id")
         )
-        return self.order_lines.join(brands, "product_id").select("order_id", "product_id", "department_id")
+        return self.raw_lines.join(brands, "product_id").select("order_id", "department_id")
 
     @cached_property
     def stored_baskets(self) -> DataFrame:

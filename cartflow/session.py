@@ -16,6 +16,8 @@ def build_session(app_name: str = "cartflow", master: str | None = None, **conf)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Item sets are small: let many of them stay in the hash map before a task turns to sorting.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")
     )
     if master:
         builder = builder.master(master)
