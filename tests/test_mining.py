@@ -1,0 +1,147 @@
+import hashlib
+import itertools
+import math
+import random
+
+import pytest
+from pyspark.ml.fpm import FPGrowth
+from pyspark.sql import functions as F
+
+from cartflow.operators import mining
+from cartflow.operators.mining import Grid, GrowthLimitExceeded
+
+BASKETS = 120
+
+
+@pytest.fixture(scope="module")
+def plain_baskets():
+    rng = random.Random(3)
+    return [sorted(rng.sample(range(1, 9), rng.randint(2, 5))) for _ in range(BASKETS)]
+
+
+@pytest.fixture(scope="module")
+def training(spark, plain_baskets):
+    rows = [(i, i, items) for i, items in enumerate(plain_baskets, 1)]
+    return spark.createDataFrame(rows, "order_id int, user_id int, items array<int>")
+
+
+def brute_force(baskets, min_support):
+    counts = {}
+    for items in baskets:
+        for size in range(1, len(items) + 1):
+            for part in itertools.combinations(items, size):
+                counts[part] = counts.get(part, 0) + 1
+    least = math.ceil(min_support * len(baskets))
+    return {part: n for part, n in counts.items() if n >= least}
+
+
+@pytest.mark.parametrize("support", [0.02, 0.1, 0.3])
+def test_itemsets_match_enumeration(training, plain_baskets, support):
+    found = {tuple(r["items"]): r.freq for r in mining.frequent_itemsets(training, support).collect()}
+    assert found == brute_force(plain_baskets, support)
+
+
+def test_rules_match_the_library(training):
+    model = FPGrowth(itemsCol="items", minSupport=0.05, minConfidence=0.3).fit(training)
+    want = {
+        (tuple(sorted(r.antecedent)), tuple(r.consequent), r.confidence, r.lift, r.support)
+        for r in model.associationRules.collect()
+    }
+    rules = mining.association_rules(mining.frequent_itemsets(training, 0.05), BASKETS, 0.3)
+    got = {(tuple(r.antecedent), tuple(r.consequent), r.confidence, r.lift, r.support) for r in rules.collect()}
+    assert got == want and len(want) > 20
+
+
+def test_one_fit_serves_the_grid(training):
+    grid = Grid((0.05, 0.1, 0.2), (0.2, 0.5))
+    mined = mining.mine_grid(training, grid)
+    cells = {r.config_id: r for r in mined.metrics().collect()}
+    assert len(cells) == 6
+    for name, support, confidence in grid.cells:
+        itemsets = mining.frequent_itemsets(training, support)
+        rules = mining.association_rules(itemsets, BASKETS, confidence)
+        metrics = mining.rule_metrics(rules).first()
+        cell = cells[name]
+        assert cell.frequent_itemsets == itemsets.count()
+        assert cell.association_rules == metrics.association_rules == rules.count()
+        assert cell.useful_rules == mining.useful_rules(rules, confidence).count()
+        assert cell.median_lift == metrics.median_lift
+        assert cell.avg_support == (pytest.approx(metrics.avg_support) if metrics.avg_support else None)
+
+
+def test_empty_cells_report_zero_counts_and_no_averages(training):
+    mined = mining.mine_grid(training, Grid((0.1,), (0.2, 1.0)))
+    empty = {r.config_id: r for r in mined.metrics().collect()}["s0.1_c1"]
+    assert (empty.association_rules, empty.useful_rules, empty.avg_lift, empty.median_lift) == (0, 0, None, None)
+
+
+def test_limits_refuse_and_skip_levels(training, plain_baskets):
+    with pytest.raises(GrowthLimitExceeded):
+        mining.frequent_itemsets(training, 0.02, cap=10)
+    level = len(brute_force(plain_baskets, 0.1))
+    mined = mining.mine_grid(training, Grid((0.02, 0.1), (0.2,)), max_itemsets=level)
+    assert list(mined.skipped) == [0.02] and mined.itemsets.count() == level
+    cells = {r.config_id: r for r in mined.metrics().collect()}
+    assert cells["s0.02_c0.2"].status.startswith("SKIPPED")
+    assert cells["s0.02_c0.2"].association_rules is None
+    assert cells["s0.1_c0.2"].status == "PASS"
+    with pytest.raises(GrowthLimitExceeded):
+        mining.mine_grid(training, Grid((0.02,), (0.2,)), max_rules=3)
+
+
+def test_training_takes_prior_baskets_of_two(spark):
+    baskets = spark.createDataFrame(
+        [(1, 1, [1, 2]), (2, 1, [1]), (3, 1, [1, 2])], "order_id int, user_id int, items array<int>"
+    )
+    orders = spark.createDataFrame([(1, "prior"), (2, "prior"), (3, "train")], "order_id int, eval_set string")
+    assert [r.order_id for r in mining.training_baskets(baskets, orders).collect()] == [1]
+    assert mining.training_report(baskets, orders).first().asDict() == {
+        "source_baskets": 3,
+        "prior_baskets": 2,
+        "training_baskets": 1,
+        "excluded_baskets": 1,
+    }
+    with pytest.raises(ValueError):
+        mining.checked_training(baskets.limit(0))
+    with pytest.raises(ValueError):
+        mining.checked_training(baskets)
+
+
+def test_useful_rules_are_strict_sorted_unique_and_hashed(spark):
+    rows = [
+        ([2, 1], [3], 0.5, 1.5, 0.1),
+        ([1, 2], [3], 0.5, 1.5, 0.1),
+        ([1], [2], 0.5, 1.0, 0.1),
+        ([1], [1], 0.5, 2.0, 0.1),
+        ([], [1], 0.5, 2.0, 0.1),
+        ([4], [5], 0.1, 2.0, 0.1),
+    ]
+    columns = "antecedent array<int>, consequent array<int>, confidence double, lift double, support double"
+    (rule,) = mining.useful_rules(spark.createDataFrame(rows, columns), 0.2).collect()
+    assert (rule.antecedent, rule.consequent) == ([1, 2], [3])
+    assert rule.rule_id == hashlib.sha256(b'{"antecedent":[1,2],"consequent":[3]}').hexdigest()
+
+
+def test_names_follow_the_ids(spark):
+    rules = spark.createDataFrame([("r", [3, 1], [2])], "rule_id string, antecedent array<int>, consequent array<int>")
+    names = spark.createDataFrame([(1, "zebra"), (2, "b"), (3, "apple")], "product_id int, product_name string")
+    named = mining.rule_names(rules, names).first()
+    assert (named.antecedent_names, named.consequent_names) == (["apple", "zebra"], ["b"])
+
+
+def test_lift_intervals(spark):
+    rules = spark.createDataFrame([(0.3,), (1.0,), (1.9,), (2.0,), (9.0,)], "lift double")
+    assert [tuple(r) for r in mining.lift_histogram(rules).collect()] == [
+        (-2, "[0.25, 0.5)", 1),
+        (0, "[1, 2)", 2),
+        (1, "[2, 4)", 1),
+        (3, "[8, 16)", 1),
+    ]
+
+
+def test_filters_include_their_thresholds(retail):
+    rules = retail.final_rules
+    edge = rules.orderBy(F.desc("lift")).first()
+    kept = mining.filter_rules(rules, edge.support, edge.confidence, edge.lift)
+    assert edge.rule_id in {r.rule_id for r in kept.collect()}
+    assert [r["rank"] for r in mining.top_rules(rules, 0.001, 7).collect()] == list(range(1, 8))
