@@ -291,7 +291,7 @@ def invalid_lookup(r: Retail) -> DataFrame:
 @query
 def kpi_reconciliation(r: Retail) -> DataFrame:
     orders, baskets = r.stored_orders, silver.baskets(r.silver_items, r.stored_orders)
-    row = kpi.kpi_summary(orders, r.silver_items, baskets, r.product_dim)
+    row = kpi.kpi_summary(orders, r.silver_items, baskets, r.stored_products)
     per_user = kpi.orders_per_user_histogram(orders)
     return quality.kpi_reconciliation(
         row,
@@ -300,7 +300,7 @@ def kpi_reconciliation(r: Retail) -> DataFrame:
             "total_orders/weekdays": kpi.count_by(orders, "order_dow").agg(F.sum("count")),
             "total_orders/users": per_user.agg(F.sum(F.col("orders_per_user") * F.col("user_count"))),
             "total_users/users": per_user.agg(F.sum("user_count")),
-            "total_order_items/departments": kpi.reorder_by_department(r.silver_items, r.product_dim).agg(
+            "total_order_items/departments": kpi.reorder_by_department(r.silver_items, r.stored_products).agg(
                 F.sum("item_count")
             ),
             "total_order_items/baskets": baskets.agg(F.sum("basket_size")),
@@ -456,7 +456,7 @@ def peak_with_ties(r: Retail) -> DataFrame:
 
 @query
 def most_purchased(r: Retail) -> DataFrame:
-    items, products = r.order_lines, r.product_dim
+    items, products = r.order_lines, r.stored_products
     names = ["id", "name", "count"]
     return stack(
         [
@@ -473,7 +473,7 @@ def most_purchased(r: Retail) -> DataFrame:
 @query
 def kpi_summary(r: Retail) -> DataFrame:
     orders, items = r.stored_orders, r.silver_items
-    return kpi.kpi_summary(orders, items, silver.baskets(items, orders), r.product_dim)
+    return kpi.kpi_summary(orders, items, silver.baskets(items, orders), r.stored_products)
 
 
 @query
@@ -483,9 +483,9 @@ def layer_row_counts(r: Retail) -> DataFrame:
     return kpi.layer_row_counts(
         [
             ("silver", "orders", [r.source("orders")], orders),
-            ("silver", "products", [r.source("part")], r.product_dim),
+            ("silver", "products", [r.source("part")], r.stored_products),
             ("silver", "order_items", parts, items),
-            ("silver", "order_items_enriched", [items], silver.order_items_enriched(items, r.product_dim)),
+            ("silver", "order_items_enriched", [items], silver.order_items_enriched(items, r.stored_products)),
             ("silver", "baskets", [items], silver.baskets(items, orders)),
             ("gold", "training_baskets", [r.stored_baskets], r.stored_training),
         ]

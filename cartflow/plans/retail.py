@@ -165,6 +165,10 @@ class Retail:
     def product_dim(self) -> DataFrame:
         return silver.product_dim(self.products, self.aisles, self.departments)
 
+    @cached_property
+    def stored_products(self) -> DataFrame:
+        return materialize(self.product_dim, "products")
+
     @cached_property
     def enriched(self) -> DataFrame:
         return silver.order_items_enriched(self.order_items, self.product_dim)
