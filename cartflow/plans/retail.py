@@ -192,7 +192,9 @@ class Retail:
 
     @cached_property
     def stored_training(self) -> DataFrame:
-        return materialize(mining.training_baskets(self.stored_baskets, self.stored_orders), "training")
+        """Stored in at least one part per core: the miner builds its trees per part."""
+        parts = self.spark.sparkContext.defaultParallelism
+        return materialize(mining.training_baskets(self.stored_baskets, self.stored_orders, partitions=parts), "training")
 
     @cached_property
     def mined(self) -> MinedGrid:

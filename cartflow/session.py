@@ -31,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a folder of this machine: executors elsewhere could not read it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
