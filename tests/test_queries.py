@@ -21,7 +21,21 @@ def test_every_query_has_a_counterpart():
 
 @pytest.mark.parametrize("name", list(BUILDERS))
 def test_query_matches_sql(name, retail, duck):
-    assert differences(BUILDERS[name](retail), ORACLE[name], duck) == []
+    df = BUILDERS[name](retail)
+    assert differences(df, ORACLE[name], duck) == []
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python"):
+        assert unwanted not in plan
+
+
+def test_split_filters_reach_the_files(retail):
+    """The splits are separated at the scan, which reads only the columns it needs."""
+    from cartflow.operators import recommend
+
+    plan = recommend.latest_context(retail.stored_baskets, retail.stored_orders)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(eval_set,prior)" in text
+    assert "ReadSchema: struct<order_id:bigint,eval_set:string,order_number:int>" in text
 
 
 def test_entry_point(spark):
