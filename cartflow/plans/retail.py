@@ -91,7 +91,7 @@ class Retail:
     @cached_property
     def stored_lines(self) -> DataFrame:
         """Stored: order lines with the user, position and split of their order. Two steps read them."""
-        owners = self.orders.select("order_id", "user_id", "order_number", "eval_set")
+        owners = self.stored_orders.select("order_id", "user_id", "order_number", "eval_set")
         return materialize(self.order_lines.join(owners, "order_id"), "lines")
 
     @cached_property
