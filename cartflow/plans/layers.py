@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cartflow.operators import kpi, mining, quality, recommend, silver
 from cartflow.operators.frames import stack
 from cartflow.operators.mining import Grid
-from cartflow.session import materialize
+from cartflow.session import materialize, size_shuffles
 from cartflow.sources import files
 from cartflow.sources.specs import TableSpec, table_specs
 
@@ -47,6 +47,7 @@ def build_bronze(
     The text is parsed once; the profiles read the staged Parquet. Returns `(table, check, column, n)`.
     """
     specs = specs or table_specs()
+    size_shuffles(spark, raw)
     staged = {}
     for name, spec in specs.items():
         source = files.with_lineage(files.read_source(spark, raw, spec), run_id)
@@ -66,6 +67,7 @@ def build_silver(
 ) -> DataFrame:
     """The dimensional model. Broken references stop the build. Returns `(fk, n)`."""
     specs = specs or table_specs()
+    size_shuffles(spark, bronze)
     raw = {name: silver.normalize(files.read_table(spark, bronze, name), spec) for name, spec in specs.items()}
     references = materialize(silver.fk_report(raw), "fk_report")
     broken = files.bounded_collect(references.where(F.col("n") > 0))
@@ -119,6 +121,7 @@ def build_gold(
 
     The train split both selects the cell and measures it: an internal validation, not an independent test.
     """
+    size_shuffles(spark, silver_root)
     t = {name: files.read_table(spark, silver_root, name) for name in SILVER_TABLES}
     orders, baskets = t["orders"], t["baskets"]
     files.write_table(kpi.kpi_summary(orders, t["order_items"], baskets, t["products"]), f"{root}/kpi_summary")

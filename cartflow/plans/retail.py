@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cartflow.operators import kpi, mining, recommend, silver
 from cartflow.operators.mining import Grid, MinedGrid
 from cartflow.plans.ordering import HOT_KEY_ROWS, number_within
-from cartflow.session import materialize
+from cartflow.session import materialize, size_shuffles
 from cartflow.sources.specs import table_specs
 
 # Thresholds that give non-empty cells on data whose items are close to independent.
@@ -34,6 +34,7 @@ class Retail:
         self.hot_rows = hot_rows
         self.specs = table_specs("long")
         self._sources: dict[str, DataFrame] = {}
+        size_shuffles(spark, *[f"{self.folder}/{name}.parquet" for name in ("orders", "lineitem")])
 
     def source(self, name: str) -> DataFrame:
         if name not in self._sources:

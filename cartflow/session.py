@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -26,19 +27,47 @@ def build_session(app_name: str = "cartflow", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+# Input bytes per shuffle partition. The plans shuffle a few narrow columns, so a partition is far smaller than this.
+PARTITION_BYTES = 256 * 1024 * 1024
+# More partitions cost the driver more than they help the tasks.
+MAX_PARTITIONS = 50_000
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """The size of files or folders, from their listing."""
+    total = 0
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        total += fs.getContentSummary(target).getLength()
+    return total
+
+
+def size_shuffles(spark: SparkSession, *paths: str) -> int:
+    """Raise `spark.sql.shuffle.partitions` to fit the input; it is never lowered.
+
+    Adaptive execution merges small partitions but does not split large ones, so the number has to start high.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(math.ceil(input_bytes(spark, *paths) / PARTITION_BYTES), MAX_PARTITIONS)
+    if wanted > current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return max(wanted, current)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
     Only a local session may fall back to a folder of this machine: executors elsewhere could not read it.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
