@@ -110,6 +110,19 @@ def frequent_itemsets(
     return within_cap(found.select(F.sort_array("items").alias("items"), "freq"), cap, "itemsets")
 
 
+def growth_report(
+    itemsets: DataFrame, rules: DataFrame, max_itemsets: int = MAX_ITEMSETS, max_rules: int = MAX_RULES
+) -> DataFrame:
+    """The size of a fit against its limits: `(result, n, cap, within)`."""
+    sizes = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(name).alias("result"), "n", F.lit(cap).cast("long").alias("cap"), (F.col("n") <= cap).alias("within")
+        )
+        for name, df, cap in (("itemsets", itemsets, max_itemsets), ("rules", rules, max_rules))
+    ]
+    return stack(sizes)
+
+
 def association_rules(
     itemsets: DataFrame, baskets: int, min_confidence: float = 0.0, min_support: float = 0.0
 ) -> DataFrame:

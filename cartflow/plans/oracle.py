@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from cartflow.functions.baskets import config_id
+from cartflow.operators.mining import MAX_ITEMSETS, MAX_RULES
 from cartflow.operators.recommend import FALLBACK_NOTE, FROM_POPULARITY, FROM_RULE
 from cartflow.plans.retail import FINAL, GRID
 
@@ -373,6 +374,7 @@ BODIES = {
     "backfill_run_id": "SELECT o_orderkey, o_custkey, 'run_1' AS run_id FROM orders",
     "bucket_sample": "SELECT * FROM items WHERE order_id % 10000 < 500",
     "export_csv": "SELECT order_dow, count(*) AS count FROM shop_orders GROUP BY ALL",
+    "range_source": "SELECT count(*) AS rows, CAST(1 AS BIGINT) AS low, count(*) AS high FROM orders",
     "product_catalog": "SELECT product_id, product_name, department FROM dim",
     "rule_positive_key": _rules(
         *[(t, c, PROFILES[t][0], PROFILES[t][1][c]) for t in ("products",) for c in ("product_id", "aisle_id", "department_id")],
@@ -591,6 +593,10 @@ BODIES = {
           prior_baskets - training_baskets AS excluded_baskets
         FROM dept_baskets JOIN shop_orders USING (order_id)""",
     "frequent_itemsets": f"SELECT {_text('items')}, freq FROM itemsets",
+    "growth_caps": f"""
+        SELECT 'itemsets' AS result, count(*) AS n, CAST({MAX_ITEMSETS} AS BIGINT) AS cap,
+          count(*) <= {MAX_ITEMSETS} AS within FROM itemsets UNION ALL
+        SELECT 'rules', count(*), CAST({MAX_RULES} AS BIGINT), count(*) <= {MAX_RULES} FROM rules""",
     "association_rules": f"SELECT {_text('antecedent', 'consequent')}, confidence, lift, support FROM rules",
     "useful_rules": f"SELECT {_text('antecedent', 'consequent')}, confidence, lift, support, rule_id FROM useful",
     "rule_metrics": f"""

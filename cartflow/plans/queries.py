@@ -118,6 +118,13 @@ def product_catalog(r: Retail) -> DataFrame:
     return files.product_catalog(r.product_dim)
 
 
+@query
+def range_source(r: Retail) -> DataFrame:
+    """As many numbers as there are orders."""
+    numbers = files.number_range(r.spark, r.source("orders").count())
+    return numbers.agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
 # --- data quality -----------------------------------------------------------------------------------------
 
 
@@ -510,6 +517,11 @@ def frequent_itemsets(r: Retail) -> DataFrame:
     return flat(mining.frequent_itemsets(r.stored_training, min(GRID.supports)))
 
 
+@query
+def growth_caps(r: Retail) -> DataFrame:
+    return mining.growth_report(r.mined.itemsets, r.mined.rules)
+
+
 @query
 def association_rules(r: Retail) -> DataFrame:
     return flat(r.mined.rules.drop("freq"))
