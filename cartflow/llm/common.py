@@ -42,10 +42,13 @@ class Memo(dict):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 
-    def __missing__(self, unit):
+    def trim(self) -> None:
         if len(self) >= self.limit:
             self.old = self.copy()
             self.clear()
+
+    def __missing__(self, unit):
+        self.trim()
         value = self.old.get(unit)
         if value is None:
             value = self.compute(unit)

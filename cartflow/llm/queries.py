@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartflow.llm import bpe, token_count
+from cartflow.llm import bpe, token_count, wavelet
 from cartflow.llm.common import table
+from cartflow.session import scratch_path
+
+
+def op1_wavelet_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    shards = scratch_path(spark, "wavelet")
+    manifest = wavelet.write_shards(table(spark, folder, "documents"), shards)
+    return wavelet.read_documents(manifest, shards, keep_ids=False)
 
 
 def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +23,7 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe_round_trip, op7_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op3_bpe_round_trip, op7_token_counts)}
 
 # SQL cannot express tokenizers, learned models or edit distances over word sequences; those queries are tested
 # against brute force, other libraries or held-out labels in tests/llm.
