@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartflow.llm import bpe, token_count, wavelet
+from cartflow.llm import bpe, quality_rules, token_count, wavelet
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -23,7 +23,13 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op3_bpe_round_trip, op7_token_counts)}
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality_rules.fit_quality(docs, table(spark, folder, "labels"))
+    return quality_rules.score_quality(docs, model)
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op3_bpe_round_trip, op7_token_counts, op10_quality_rules)}
 
 # SQL cannot express tokenizers, learned models or edit distances over word sequences; those queries are tested
 # against brute force, other libraries or held-out labels in tests/llm.
