@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartflow.llm import bpe, quality_rules, token_count, wavelet
+from cartflow.llm import bpe, quality_rules, token_count, toxicity, wavelet
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -15,6 +15,12 @@ def op1_wavelet_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return wavelet.read_documents(manifest, shards, keep_ids=False)
 
 
+def op2_subword_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"))
+    return toxicity.score_toxicity(docs, model)
+
+
 def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), keep_ids=False)
 
@@ -29,7 +35,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.score_quality(docs, model)
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op3_bpe_round_trip, op7_token_counts, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_wavelet_tokens, op2_subword_toxicity, op3_bpe_round_trip, op7_token_counts, op10_quality_rules)
+}
 
 # SQL cannot express tokenizers, learned models or edit distances over word sequences; those queries are tested
 # against brute force, other libraries or held-out labels in tests/llm.
