@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartflow.llm import bpe, quality_rules, token_count, toxicity, wavelet
+from cartflow.llm import bpe, language, quality_rules, token_count, toxicity, wavelet
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -29,6 +29,11 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
 
+def op9_byte_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.identify(docs, language.fit_language(docs))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality_rules.fit_quality(docs, table(spark, folder, "labels"))
@@ -37,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_wavelet_tokens, op2_subword_toxicity, op3_bpe_round_trip, op7_token_counts, op10_quality_rules)
+    for f in (op1_wavelet_tokens, op2_subword_toxicity, op3_bpe_round_trip, op7_token_counts, op9_byte_language, op10_quality_rules)
 }
 
 # SQL cannot express tokenizers, learned models or edit distances over word sequences; those queries are tested
