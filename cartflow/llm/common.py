@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,12 +59,30 @@ class Memo(dict):
         return value
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for source in sorted(root.rglob("*.py")):
+            target.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """Map record batches: `make` runs once per task, its result turns columns (lists) into columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     target = StructType.fromDDL(schema)
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, arrow = make(), to_arrow_schema(target)
@@ -80,4 +101,4 @@ def pieces(batch: pa.RecordBatch, target: int = 8 << 20) -> Iterator[pa.RecordBa
         yield batch.slice(start, rows)
 
 
-__all__ = ["Memo", "in_sample", "materialize", "per_batch", "pieces", "remainder", "table", "text_of"]
+__all__ = ["Memo", "in_sample", "materialize", "per_batch", "pieces", "remainder", "ship_package", "table", "text_of"]

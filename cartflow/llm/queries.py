@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartflow.llm import bpe, language, quality_rules, token_count, toxicity, wavelet
+from cartflow.llm import bpe, language, near_dedup, quality_rules, token_count, toxicity, wavelet
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -25,6 +25,10 @@ def op3_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_documents(table(spark, folder, "documents"), keep_ids=False)
 
 
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
@@ -42,7 +46,15 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_wavelet_tokens, op2_subword_toxicity, op3_bpe_round_trip, op7_token_counts, op9_byte_language, op10_quality_rules)
+    for f in (
+        op1_wavelet_tokens,
+        op2_subword_toxicity,
+        op3_bpe_round_trip,
+        op4_order_minhash,
+        op7_token_counts,
+        op9_byte_language,
+        op10_quality_rules,
+    )
 }
 
 # SQL cannot express tokenizers, learned models or edit distances over word sequences; those queries are tested

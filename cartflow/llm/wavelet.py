@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import Memo, materialize, pieces, text_of
+from cartflow.llm.common import Memo, materialize, pieces, ship_package, text_of
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
@@ -238,7 +238,7 @@ def write_shards(
     only. `start` sums the tokens of earlier shards over this table of one row per shard.
     """
     path = path or public_tokenizers.path(MODEL)
-    spark = docs.sparkSession
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -298,6 +298,7 @@ def each_shard(manifest: DataFrame, folder: str, use, schema: str) -> DataFrame:
                 with system.open_input_file(f"{base}/{name}") as source:
                     yield from use(Shard(source), start)
 
+    ship_package(manifest.sparkSession)
     rows = manifest.select("file", "start")
     return rows.repartition(max(1, manifest.count()), "file").mapInArrow(run, schema)
 
