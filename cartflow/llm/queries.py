@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartflow.llm import bpe, language, near_dedup, quality_rules, token_count, toxicity, wavelet
+from cartflow.llm import bpe, language, near_dedup, quality_rules, substring_dedup, token_count, toxicity, wavelet
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -29,6 +29,10 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.classes(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
         op2_subword_toxicity,
         op3_bpe_round_trip,
         op4_order_minhash,
+        op5_sentence_spans,
         op7_token_counts,
         op9_byte_language,
         op10_quality_rules,
