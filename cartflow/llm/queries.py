@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartflow.llm import bpe, language, near_dedup, quality_rules, substring_dedup, token_count, toxicity, wavelet
+from cartflow.llm import bpe, decontam, language, near_dedup, quality_rules, substring_dedup, token_count, toxicity, wavelet
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -33,6 +33,11 @@ def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents"))
 
 
+def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "covered")
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
         op3_bpe_round_trip,
         op4_order_minhash,
         op5_sentence_spans,
+        op6_template_decontamination,
         op7_token_counts,
         op9_byte_language,
         op10_quality_rules,
