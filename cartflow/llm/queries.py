@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cartflow.llm import bpe, decontam, language, near_dedup, quality_rules, substring_dedup, token_count, toxicity, wavelet
+from cartflow.llm import bpe, decontam, language, maxscore, near_dedup, quality_rules, substring_dedup, token_count, toxicity, wavelet
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -42,6 +43,11 @@ def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"))
 
 
+def op8_maxscore(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = maxscore.quantised(table(spark, folder, "embeddings"))
+    return maxscore.search(vectors, vectors.where(F.col("vec_id") % maxscore.EVERY == 0))
+
+
 def op9_byte_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language.identify(docs, language.fit_language(docs))
@@ -63,6 +69,7 @@ QUERIES = {
         op5_sentence_spans,
         op6_template_decontamination,
         op7_token_counts,
+        op8_maxscore,
         op9_byte_language,
         op10_quality_rules,
     )
