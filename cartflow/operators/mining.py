@@ -9,12 +9,10 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import SparkRuntimeException
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from cartflow.functions.baskets import config_id, overlaps, rule_id, rule_label
@@ -22,14 +20,14 @@ from cartflow.operators.frames import beside, stack
 from cartflow.operators.quality import invalid_baskets
 from cartflow.session import materialize
 
-# The growth limits of a fit, and the training basket size.
+# The sizes that `growth_report` compares a fit with, and the training basket size.
 MAX_ITEMSETS = 200_000
 MAX_RULES = 500_000
 MIN_BASKET_SIZE = 2
 
 
 class GrowthLimitExceeded(ValueError):
-    """A fit produced more itemsets or rules than allowed. Its result is refused as a whole."""
+    """A fit produced more itemsets or rules than the caller allows. The run stops; nothing is cut or skipped."""
 
 
 @dataclass(frozen=True)
@@ -43,9 +41,6 @@ class Grid:
     def cells(self) -> list[tuple[str, float, float]]:
         return [(config_id(s, c), s, c) for s in sorted(self.supports) for c in sorted(self.confidences)]
 
-    def at_least(self, support: float) -> Grid:
-        return Grid(tuple(s for s in self.supports if s >= support), self.confidences)
-
 
 def min_count(min_support: float, baskets: int) -> int:
     """The basket count that the miner demands for a support level."""
@@ -89,25 +84,24 @@ def checked_training(training: DataFrame, min_size: int = MIN_BASKET_SIZE) -> Da
     return training
 
 
-def within_cap(df: DataFrame, cap: int | None, what: str) -> DataFrame:
-    """Store `df`, or refuse it when it has more than `cap` rows. Work stops soon after the cap is passed."""
-    if cap is None:
-        return materialize(df, what)
-    stored = materialize(df.limit(cap + 1), what)
-    if stored.count() > cap:
-        raise GrowthLimitExceeded(f"more than {cap} {what}")
+def stored_within(df: DataFrame, limit: int | None, what: str) -> DataFrame:
+    """Store `df` as all its tasks write it, and count it on the way; more than `limit` rows are an error."""
+    written = Observation(what)
+    stored = materialize(df.observe(written, F.count(F.lit(1)).alias("rows")), what)
+    if limit is not None and written.get["rows"] > limit:
+        raise GrowthLimitExceeded(f"{written.get['rows']} {what}, {limit} allowed")
     return stored
 
 
 def frequent_itemsets(
-    training: DataFrame, min_support: float, cap: int | None = MAX_ITEMSETS, partitions: int | None = None
+    training: DataFrame, min_support: float, cap: int | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Itemsets in at least `min_support` of the baskets: `(items, freq)`, items ascending."""
     miner = FPGrowth(itemsCol="items", minSupport=min_support)
     if partitions:
         miner = miner.setNumPartitions(partitions)
     found = miner.fit(training.select("items")).freqItemsets
-    return within_cap(found.select(F.sort_array("items").alias("items"), "freq"), cap, "itemsets")
+    return stored_within(found.select(F.sort_array("items").alias("items"), "freq"), cap, "itemsets")
 
 
 def growth_report(
@@ -246,7 +240,7 @@ def config_rules(rules: DataFrame, grid: Grid, baskets: int) -> DataFrame:
 
 @dataclass
 class MinedGrid:
-    """Itemsets and rules of the lowest support that could be mined, and what had to be skipped."""
+    """Itemsets and rules of the lowest support of `grid`; those of the higher levels are among them."""
 
     training: DataFrame
     baskets: int
@@ -254,55 +248,39 @@ class MinedGrid:
     itemsets: DataFrame
     rules: DataFrame
     fit_seconds: float
-    skipped: dict[float, str] = field(default_factory=dict)
 
     def metrics(self) -> DataFrame:
-        """`grid_metrics` plus `status` and `fit_seconds`. A skipped cell has no numbers, never zeros."""
-        done = grid_metrics(self.itemsets, self.rules, self.grid, self.baskets).withColumns(
+        """`grid_metrics` plus `status` and `fit_seconds`, which all cells of the fit share."""
+        return grid_metrics(self.itemsets, self.rules, self.grid, self.baskets).withColumns(
             {"status": F.lit("PASS"), "fit_seconds": F.lit(self.fit_seconds)}
         )
-        cells = [
-            (config_id(s, c), s, c, f"SKIPPED: {reason}")
-            for s, reason in self.skipped.items()
-            for c in sorted(self.grid.confidences)
-        ]
-        if not cells:
-            return done
-        missing = self.rules.sparkSession.createDataFrame(
-            cells, "config_id string, min_support double, min_confidence double, status string"
-        )
-        return stack([done, missing])
 
     def config_rules(self) -> DataFrame:
         return config_rules(self.rules, self.grid, self.baskets)
 
+    def cell_rules(self, min_support: float, min_confidence: float) -> DataFrame:
+        """The rules of one cell, which must belong to the mined grid."""
+        if min_support not in self.grid.supports or min_confidence not in self.grid.confidences:
+            raise ValueError(f"{config_id(min_support, min_confidence)} was not mined")
+        return association_rules(self.itemsets, self.baskets, min_confidence, min_support)
+
 
 def mine_grid(
     training: DataFrame,
     grid: Grid,
-    max_itemsets: int | None = MAX_ITEMSETS,
-    max_rules: int | None = MAX_RULES,
+    max_itemsets: int | None = None,
+    max_rules: int | None = None,
     partitions: int | None = None,
 ) -> MinedGrid:
-    """Mine the lowest support level that stays within the limits; it serves all higher levels.
+    """One fit at the lowest support, which serves all levels. Any failure ends the run.
 
-    A level that fails is skipped and the next one is tried. `training` should be a stored table, since the
-    miner reads it several times.
+    `training` should be a stored table, since the miner reads it several times.
     """
     baskets = training.count()
-    skipped: dict[float, str] = {}
-    for support in sorted(grid.supports):
-        started = time.perf_counter()
-        try:
-            itemsets = frequent_itemsets(training, support, max_itemsets, partitions)
-            found = association_rules(itemsets, baskets, min(grid.confidences))
-            rules = within_cap(found, max_rules, "rules")
-        except (GrowthLimitExceeded, SparkRuntimeException, Py4JJavaError) as error:
-            skipped[support] = f"{type(error).__name__}: {error}"[:500]
-            continue
-        seconds = time.perf_counter() - started
-        return MinedGrid(training, baskets, grid.at_least(support), itemsets, rules, seconds, skipped)
-    raise GrowthLimitExceeded(f"no support level could be mined: {skipped}")
+    started = time.perf_counter()
+    itemsets = frequent_itemsets(training, min(grid.supports), max_itemsets, partitions)
+    rules = stored_within(association_rules(itemsets, baskets, min(grid.confidences)), max_rules, "rules")
+    return MinedGrid(training, baskets, grid, itemsets, rules, time.perf_counter() - started)
 
 
 def rule_names(rules: DataFrame, names: DataFrame, item: str = "product_id", name: str = "product_name") -> DataFrame:

@@ -1,7 +1,7 @@
 """From CSV files to serving tables: bronze, silver and gold folders of Parquet tables.
 
-Every step checks its input, publishes verified tables or refuses to overwrite, and reads the stored tables of
-the step before.
+Every step checks its input, stages all its tables, checks what was staged, and only then publishes; a failed check
+leaves no published table. It refuses to overwrite, and reads the stored tables of the step before.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cartflow.operators import kpi, mining, quality, recommend, silver
 from cartflow.operators.frames import stack
 from cartflow.operators.mining import Grid
-from cartflow.session import materialize, size_shuffles
+from cartflow.session import materialize, sized_shuffles
 from cartflow.sources import files
 from cartflow.sources.specs import TableSpec, table_specs
 
@@ -39,6 +39,22 @@ def _require_clean(profiles: dict[str, DataFrame], specs: dict[str, TableSpec])
         raise ValueError("failed checks: " + ", ".join(failed["table"] + "." + failed["check"]))
 
 
+class Staging:
+    """The tables of one layer, staged and read back; `publish` moves them into place together."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.staged: dict[str, tuple[str, int]] = {}
+
+    def store(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        self.staged[name] = files.stage_verified(df, f"{self.root}/{name}", rows)
+        return self.spark.read.parquet(self.staged[name][0])
+
+    def publish(self) -> None:
+        for name, (staging, rows) in self.staged.items():
+            files.publish_staged(self.spark, staging, f"{self.root}/{name}", rows)
+
+
 def build_bronze(
     spark: SparkSession, raw: str, root: str, run_id: str, specs: dict[str, TableSpec] | None = None
 ) -> DataFrame:
@@ -47,18 +63,14 @@ def build_bronze(
     The text is parsed once; the profiles read the staged Parquet. Returns `(table, check, column, n)`.
     """
     specs = specs or table_specs()
-    size_shuffles(spark, raw)
-    staged = {}
-    for name, spec in specs.items():
-        source = files.with_lineage(files.read_source(spark, raw, spec), run_id)
-        staged[name] = files.stage_verified(source, f"{root}/{name}")
-    profiles = {}
-    for name, (staging, _) in staged.items():
-        table = spark.read.parquet(staging).drop(*files.LINEAGE)
-        profiles[name] = materialize(quality.profile_table(table, specs[name]), f"profile_{name}")
-    _require_clean(profiles, specs)
-    for name, (staging, rows) in staged.items():
-        files.publish_staged(spark, staging, f"{root}/{name}", rows)
+    staging, profiles = Staging(spark, root), {}
+    with sized_shuffles(spark, raw):
+        for name, spec in specs.items():
+            table = staging.store(files.with_lineage(files.read_source(spark, raw, spec), run_id), name)
+            found = quality.profile_table(table.drop(*files.LINEAGE), spec)
+            profiles[name] = materialize(found, f"profile_{name}")
+        _require_clean(profiles, specs)
+        staging.publish()
     return stack(list(profiles.values()))
 
 
@@ -66,23 +78,22 @@ def build_silver(
     spark: SparkSession, bronze: str, root: str, specs: dict[str, TableSpec] | None = None
 ) -> DataFrame:
     """The dimensional model. Broken references stop the build. Returns `(fk, n)`."""
-    specs = specs or table_specs()
-    size_shuffles(spark, bronze)
+    with sized_shuffles(spark, bronze):
+        return _silver(spark, bronze, Staging(spark, root), specs or table_specs())
+
+
+def _silver(spark: SparkSession, bronze: str, staging: Staging, specs: dict[str, TableSpec]) -> DataFrame:
     raw = {name: silver.normalize(files.read_table(spark, bronze, name), spec) for name, spec in specs.items()}
     references = materialize(silver.fk_report(raw), "fk_report")
     broken = files.bounded_collect(references.where(F.col("n") > 0))
     if len(broken):
         raise ValueError("broken references: " + ", ".join(broken["fk"]))
 
-    def store(df: DataFrame, name: str) -> DataFrame:
-        files.write_table(df, f"{root}/{name}")
-        return files.read_table(spark, root, name)
-
-    orders = store(raw["orders"], "orders")
-    products = store(silver.product_dim(raw["products"], raw["aisles"], raw["departments"]), "products")
-    items = store(silver.order_items(raw["order_products_prior"], raw["order_products_train"]), "order_items")
-    enriched = store(silver.order_items_enriched(items, products), "order_items_enriched")
-    baskets = store(silver.baskets(items, orders), "baskets")
+    orders = staging.store(raw["orders"], "orders")
+    products = staging.store(silver.product_dim(raw["products"], raw["aisles"], raw["departments"]), "products")
+    items = staging.store(silver.order_items(raw["order_products_prior"], raw["order_products_train"]), "order_items")
+    enriched = staging.store(silver.order_items_enriched(items, products), "order_items_enriched")
+    baskets = staging.store(silver.baskets(items, orders), "baskets")
     lost = stack(
         [
             quality.reconcile_rows(raw["products"], products, "products"),
@@ -91,15 +102,18 @@ def build_silver(
     ).where(~F.col("ok"))
     if not lost.isEmpty() or not quality.invalid_baskets(baskets).isEmpty():
         raise ValueError("silver tables lost rows or hold invalid baskets")
+    staging.publish()
     return references
 
 
 @dataclass
 class GoldReport:
-    """`scored` has one row per grid cell, `selected` the chosen one, `users` the evaluation per user."""
+    """`scored` has one row per grid cell, `selected` the chosen one, `rules` the metrics of its useful rules,
+    `users` the evaluation per user."""
 
     scored: DataFrame
     selected: DataFrame
+    rules: DataFrame
     users: DataFrame
 
 
@@ -109,7 +123,7 @@ def evaluate_grid(
     """Rules, predictions and scores of all grid cells, each stored."""
     rules = materialize(mined.config_rules().drop("freq"), "config_rules")
     predictions = materialize(recommend.recommendations(contexts, recommend.index_rules(rules), k), "predictions")
-    coverage = recommend.coverage_hits(predictions, contexts)
+    coverage = recommend.coverage_hits(predictions, contexts, [name for name, _, _ in mined.grid.cells])
     scored = materialize(recommend.selection_score(mined.metrics(), coverage, timeout), "scored_grid")
     return rules, predictions, scored
 
@@ -121,11 +135,32 @@ def build_gold(
 
     The train split both selects the cell and measures it: an internal validation, not an independent test.
     """
-    size_shuffles(spark, silver_root)
+    with sized_shuffles(spark, silver_root):
+        return _gold(spark, silver_root, Staging(spark, root), grid, partitions)
+
+
+def _reconciled(row: DataFrame, orders: DataFrame, baskets: DataFrame, items: DataFrame) -> None:
+    """The totals of the distributions must be those of the key figures."""
+    per_user = kpi.orders_per_user_histogram(orders)
+    totals = {
+        "total_orders/hours": kpi.count_by(orders, "order_hour_of_day").agg(F.sum("count")),
+        "total_orders/weekdays": kpi.count_by(orders, "order_dow").agg(F.sum("count")),
+        "total_orders/users": per_user.agg(F.sum(F.col("orders_per_user") * F.col("user_count"))),
+        "total_users/users": per_user.agg(F.sum("user_count")),
+        "total_order_items/items": items.agg(F.count(F.lit(1))),
+        "observed_baskets/sizes": kpi.count_by(baskets, "basket_size").agg(F.sum("count")),
+    }
+    wrong = files.bounded_collect(quality.kpi_reconciliation(row, totals).where(~F.col("ok")))
+    if len(wrong):
+        raise ValueError("key figures that do not add up: " + ", ".join(wrong["check"]))
+
+
+def _gold(spark: SparkSession, silver_root: str, staging: Staging, grid: Grid, partitions: int | None) -> GoldReport:
     t = {name: files.read_table(spark, silver_root, name) for name in SILVER_TABLES}
     orders, baskets = t["orders"], t["baskets"]
-    files.write_table(kpi.kpi_summary(orders, t["order_items"], baskets, t["products"]), f"{root}/kpi_summary")
-    files.write_table(files.product_catalog(t["products"]), f"{root}/product_catalog")
+    figures = staging.store(kpi.kpi_summary(orders, t["order_items"], baskets, t["products"]), "kpi_summary")
+    _reconciled(figures, orders, baskets, t["order_items"])
+    staging.store(files.product_catalog(t["products"]), "product_catalog")
 
     training = materialize(mining.training_baskets(baskets, orders, partitions=partitions), "training")
     mined = mining.mine_grid(mining.checked_training(training), grid, partitions=partitions)
@@ -143,12 +178,14 @@ def build_gold(
         raise ValueError("no usable configuration")
     mine = F.col("config_id") == chosen["config_id"]
     named = mining.rule_names(rules.where(mine).drop("config_id"), t["products"])
-    files.publish_verified(named, f"{root}/association_rules", chosen["useful_rules"])
+    final = staging.store(named, "association_rules", chosen["useful_rules"])
     level = mining.min_count(chosen["min_support"], mined.baskets)
-    files.publish_verified(
-        mined.itemsets.where(F.col("freq") >= level), f"{root}/frequent_itemsets", chosen["frequent_itemsets"]
-    )
-    final = files.read_table(spark, root, "association_rules")
-    files.write_table(recommend.recommendation_lookup(final), f"{root}/recommendation_lookup")
+    frequent = mined.itemsets.where(F.col("freq") >= level)
+    staging.store(frequent, "frequent_itemsets", chosen["frequent_itemsets"])
+    staging.store(recommend.recommendation_lookup(final), "recommendation_lookup")
     users = materialize(recommend.user_evaluation(predictions.where(mine), contexts), "user_evaluation")
-    return GoldReport(scored, selected, users)
+    found = users.agg(F.count_if("covered").alias("covered"), F.count_if("hit").alias("hit")).first()
+    if (found["covered"], found["hit"]) != (chosen["covered_users"], chosen["hit_users"]):
+        raise ValueError("the evaluation per user differs from the chosen cell")
+    staging.publish()
+    return GoldReport(scored, selected, mining.rule_metrics(files.read_table(spark, staging.root, "association_rules")), users)

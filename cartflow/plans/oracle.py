@@ -7,13 +7,26 @@ import re
 from cartflow.functions.baskets import config_id
 from cartflow.operators.mining import MAX_ITEMSETS, MAX_RULES
 from cartflow.operators.recommend import FALLBACK_NOTE, FROM_POPULARITY, FROM_RULE
-from cartflow.plans.retail import FINAL, GRID
+from cartflow.plans.retail import FINAL, GRID, PRODUCT_BASKETS
 
 LOW, LOW_CONFIDENCE = min(GRID.supports), min(GRID.confidences)
 CELLS = ", ".join(
     f"('{name}', CAST({s} AS DOUBLE), CAST({c} AS DOUBLE))" for name, s, c in GRID.cells
 )
 
+DEPARTMENT = "(SELECT department FROM departments WHERE department_id = product_id) AS product_name"
+# The same for itemsets of single parts.
+PART_ITEMS = "p_items a", *[
+    f"p_items {right} ON {left}.order_id = {right}.order_id AND {left}.item < {right}.item" for left, right in ("ab", "bc", "cd")
+]
+
+
+def _part_sets(size: int) -> str:
+    items = ", ".join(f"{letter}.item" for letter in "abcd"[:size])
+    source = " JOIN ".join(PART_ITEMS[:size])
+    return f"SELECT [{items}] AS items, count(*) AS freq FROM {source} GROUP BY ALL HAVING count(*) >= {PRODUCT_BASKETS}"
+
+
 # Views in dependency order.
 VIEWS = {
     "order_lines": """
@@ -140,6 +153,10 @@ VIEWS = {
         SELECT c.user_id, r.config_id, r.rule_id, r.consequent[1] AS product_id, r.confidence, r.lift, r.support
         FROM contexts c JOIN cell_rules r
         ON list_has_all(c.context_items, r.antecedent) AND NOT list_contains(c.context_items, r.consequent[1])""",
+    "all_met": """
+        SELECT c.user_id, r.consequent[1] AS product_id, list_contains(c.context_items, r.consequent[1]) AS is_owned
+        FROM contexts c JOIN (SELECT DISTINCT antecedent, consequent FROM cell_rules) r
+        ON list_has_all(c.context_items, r.antecedent)""",
     "best": """
         SELECT * EXCLUDE (place) FROM (
           SELECT *, row_number() OVER (PARTITION BY config_id, user_id, product_id
@@ -155,12 +172,13 @@ VIEWS = {
     "coverage": """
         SELECT config_id, covered_users, recommendation_count, hit_users, eligible_users,
           covered_users / eligible_users AS coverage, hit_users / eligible_users AS hitrate,
-          hit_users / covered_users AS conditional_hitrate
-        FROM (SELECT config_id, count(*) AS covered_users,
-                CAST(sum(len(recommendations)) AS BIGINT) AS recommendation_count,
+          hit_users / nullif(covered_users, 0) AS conditional_hitrate
+        FROM (SELECT g.config_id, count(l.user_id) AS covered_users,
+                CAST(coalesce(sum(len(recommendations)), 0) AS BIGINT) AS recommendation_count,
                 count(*) FILTER (list_has_any(recommendations, ground_truth)) AS hit_users,
                 (SELECT count(*) FROM contexts) AS eligible_users
-              FROM lists JOIN contexts USING (user_id) GROUP BY config_id)""",
+              FROM grid g LEFT JOIN (lists l JOIN contexts USING (user_id)) ON l.config_id = g.config_id
+              GROUP BY g.config_id)""",
     "rule_stats": """
         SELECT g.config_id, g.min_support, g.min_confidence,
           (SELECT count(*) FROM itemsets i WHERE i.freq >= g.least) AS frequent_itemsets,
@@ -180,7 +198,7 @@ VIEWS = {
         FROM dept_baskets b JOIN labels_of r
         ON list_has_all(b.items, r.antecedent) AND NOT list_contains(b.items, r.consequent[1])""",
     "served": f"""
-        SELECT order_id, rank, product_id, confidence AS score, '{FROM_RULE}' AS source, label AS source_rule, rule_id,
+        SELECT order_id, rank, product_id, {DEPARTMENT}, confidence AS score, '{FROM_RULE}' AS source, label AS source_rule, rule_id,
           support, confidence, lift, CAST(NULL AS BIGINT) AS purchase_count
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY order_id
                 ORDER BY confidence DESC, lift DESC, support DESC, product_id) AS INTEGER) AS rank
@@ -192,7 +210,7 @@ VIEWS = {
         SELECT department_id AS product_id, count(*) AS count FROM line_departments GROUP BY ALL
         ORDER BY count DESC, product_id LIMIT 20""",
     "fallback": f"""
-        SELECT order_id, rank, product_id, CAST(NULL AS DOUBLE) AS score, '{FROM_POPULARITY}' AS source,
+        SELECT order_id, rank, product_id, {DEPARTMENT}, CAST(NULL AS DOUBLE) AS score, '{FROM_POPULARITY}' AS source,
           '{FALLBACK_NOTE}' AS source_rule, CAST(NULL AS VARCHAR) AS rule_id, CAST(NULL AS DOUBLE) AS support,
           CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS DOUBLE) AS lift, count AS purchase_count
         FROM (SELECT b.order_id, p.product_id, p.count, CAST(row_number() OVER (PARTITION BY b.order_id
@@ -200,6 +218,29 @@ VIEWS = {
               FROM dept_baskets b CROSS JOIN popular p
               WHERE b.order_id NOT IN (SELECT order_id FROM served) AND NOT list_contains(b.items, p.product_id))
         WHERE rank <= 5""",
+    "p_items": """
+        SELECT b.order_id, unnest(b.items) AS item FROM product_baskets b JOIN shop_orders o USING (order_id)
+        WHERE o.eval_set = 'prior' AND len(b.items) >= 2""",
+    "p_n": "SELECT count(DISTINCT order_id) AS n FROM p_items",
+    "p_itemsets": " UNION ALL ".join(_part_sets(size) for size in range(1, 5)),
+    "p_rules": """
+        SELECT s.antecedent, [s.item] AS consequent, s.freq / a.freq AS confidence,
+          (s.freq / a.freq) / (c.freq / p_n.n) AS lift, s.freq / p_n.n AS support
+        FROM (SELECT list_filter(items, lambda x: x <> item) AS antecedent, item, freq
+              FROM (SELECT items, freq, unnest(items) AS item FROM p_itemsets WHERE len(items) > 1)) s
+        JOIN p_itemsets a ON a.items = s.antecedent JOIN p_itemsets c ON c.items = [s.item] CROSS JOIN p_n""",
+    "p_named": """
+        SELECT r.*, l.antecedent_names, [p.product_name] AS consequent_names
+        FROM p_rules r JOIN products p ON p.product_id = consequent[1] JOIN (
+          SELECT antecedent, list(product_name ORDER BY pos) AS antecedent_names
+          FROM (SELECT antecedent, unnest(antecedent) AS product_id, generate_subscripts(antecedent, 1) AS pos
+                FROM (SELECT DISTINCT antecedent FROM p_rules))
+          JOIN products USING (product_id) GROUP BY antecedent) l USING (antecedent)
+        WHERE lift > 1""",
+    "p_labels": """
+        SELECT *, array_to_string(antecedent_names, ', ') || ' → ' || consequent_names[1] AS label,
+          sha256('{"antecedent":[' || array_to_string(antecedent, ',') || '],"consequent":['
+            || array_to_string(consequent, ',') || ']}') AS rule_id FROM p_named""",
 }
 
 
@@ -307,7 +348,7 @@ def _verdicts(table: str) -> str:
         "nonempty": f"(SELECT count(*) > 0 FROM {source})",
         "schema": "true",
         "required_nulls": f"NOT EXISTS (SELECT 1 FROM {source} WHERE {nulls})",
-        "duplicate_keys": f"(SELECT count(*) = count(DISTINCT {keys[0]}) FROM {source})",
+        "duplicate_keys": f"(SELECT count(*) = count(DISTINCT ({', '.join(keys)})) FROM {source})",
         "domains": f"NOT EXISTS (SELECT 1 FROM {source} WHERE {broken})",
     }
     verdicts["status"] = " AND ".join(verdicts.values())
@@ -374,10 +415,17 @@ BODIES = {
     "backfill_run_id": "SELECT o_orderkey, o_custkey, 'run_1' AS run_id FROM orders",
     "bucket_sample": "SELECT * FROM items WHERE order_id % 10000 < 500",
     "export_csv": "SELECT order_dow, count(*) AS count FROM shop_orders GROUP BY ALL",
-    "range_source": "SELECT count(*) AS rows, CAST(1 AS BIGINT) AS low, count(*) AS high FROM orders",
     "product_catalog": "SELECT product_id, product_name, department FROM dim",
     "rule_positive_key": _rules(
-        *[(t, c, PROFILES[t][0], PROFILES[t][1][c]) for t in ("products",) for c in ("product_id", "aisle_id", "department_id")],
+        *[
+            (t, c, PROFILES[t][0], PROFILES[t][1][c])
+            for t, columns in (
+                ("aisles", ["aisle_id"]),
+                ("departments", ["department_id"]),
+                ("products", ["product_id", "aisle_id", "department_id"]),
+            )
+            for c in columns
+        ],
         *[("orders", c, "shop_orders", f"{c} < 1") for c in ("order_id", "user_id", "order_number")],
         *[
             (f"order_products_{split}", c, source, f"{c} < 1")
@@ -392,6 +440,7 @@ BODIES = {
     "rule_isin": _rules(
         ("orders", "eval_set", "shop_orders", "eval_set NOT IN ('prior', 'train', 'test')"),
         ("order_products_prior", "reordered", PRIOR, "reordered NOT IN (0, 1)"),
+        ("order_products_train", "reordered", TRAIN, "reordered NOT IN (0, 1)"),
     ),
     "rule_range_or_nan": _rules(
         (
@@ -420,7 +469,7 @@ BODIES = {
         SELECT count(*) AS groups, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS excess
         FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""",
     "profile_table": " UNION ALL ".join(_profile(table) for table in PROFILES),
-    "table_status": " UNION ALL ".join(_verdicts(t) for t in ("aisles", "departments", "products", "orders")),
+    "table_status": " UNION ALL ".join(_verdicts(t) for t in PROFILES),
     "reconcile_rows": " UNION ALL ".join(
         f"SELECT '{name}' AS \"table\", s.n AS source_rows, t.n AS target_rows, s.n = t.n AS ok"
         f" FROM (SELECT count(*) AS n FROM {a}) s, (SELECT count(*) AS n FROM {b}) t"
@@ -430,7 +479,9 @@ BODIES = {
             ("order_lines", "lineitem", "order_lines"),
         )
     ),
-    "lineage_null_rows": "SELECT count(*) FILTER (l_orderkey IS NULL AND false) AS n FROM lineitem",
+    "lineage_null_rows": """
+        SELECT 'whole' AS lines, CAST(0 AS BIGINT) AS n UNION ALL
+        SELECT 'faulty', count(*) FILTER (l_returnflag = 'R' OR l_linenumber <= 1) FROM lineitem""",
     "orphan_count": " UNION ALL ".join(
         _orphans(f"{child}.{key}", child, key, parent, parent_key)
         for child, key, parent, parent_key in (
@@ -444,14 +495,19 @@ BODIES = {
         SELECT order_id, user_id, basket_size FROM product_baskets WHERE basket_size < 2 OR list_contains(items, 0)""",
     "single_target_per_user": """
         SELECT count(*) AS targets, count(DISTINCT user_id) AS users, targets = users AS ok FROM truth""",
-    "target_after_context": "SELECT count(*) FILTER (train_order_number <= context_order_number) AS n FROM contexts",
+    "target_after_context": """
+        SELECT 'built' AS pairs, count(*) FILTER (train_order_number <= context_order_number) AS n FROM contexts UNION ALL
+        SELECT 'swapped', count(*) FILTER (context_order_number <= train_order_number) FROM contexts""",
     "invalid_rules": f"""
         SELECT {_text("antecedent", "consequent")}, freq FROM rules
         WHERE confidence < 0.15 OR support < 0.005 OR lift <= 1""",
     "invalid_itemsets": """
         SELECT 'training' AS "limit", count(*) FILTER (freq > (SELECT n FROM n)) AS n FROM itemsets UNION ALL
         SELECT 'users', count(*) FILTER (freq > (SELECT count(*) FROM contexts)) FROM itemsets""",
-    "invalid_lookup": "SELECT count(*) FILTER (list_has_any(antecedent, consequent)) AS n FROM final",
+    "invalid_lookup": """
+        SELECT 'built' AS lookup, count(*) FILTER (list_has_any(antecedent, consequent)) AS n FROM final UNION ALL
+        SELECT 'swapped', CAST(sum(len(antecedent)) AS BIGINT) FROM final UNION ALL
+        SELECT 'missing', CAST(coalesce(sum(len(antecedent)) FILTER (consequent[1] % 2 = 1), 0) AS BIGINT) FROM final""",
     "kpi_reconciliation": " UNION ALL ".join(
         _reconciled(name, left, right)
         for name, left, right in (
@@ -637,7 +693,8 @@ BODIES = {
         SELECT user_id, rule_id, product_id, string_agg(config_id, ',' ORDER BY config_id) AS config_ids
         FROM matches GROUP BY ALL""",
     "exclude_owned": """
-        SELECT user_id, product_id FROM contexts CROSS JOIN popular WHERE NOT list_contains(context_items, product_id)""",
+        SELECT 'with' AS owned, count(*) AS matches, count(DISTINCT (user_id, product_id)) AS offers FROM all_met UNION ALL
+        SELECT 'without', count(*), count(DISTINCT (user_id, product_id)) FROM all_met WHERE NOT is_owned""",
     "best_rule_per_product": "SELECT * FROM best",
     "recommend_topk": "SELECT * FROM topk",
     "coverage_hits": "SELECT * FROM coverage",
@@ -648,7 +705,7 @@ BODIES = {
     "select_config": """
         SELECT config_id, min_support, min_confidence, round(selection_score, 9) AS selection_score FROM scored
         WHERE useful_rules > 0 AND coverage > 0
-        ORDER BY scored.selection_score DESC, hitrate DESC, min_support DESC LIMIT 1""",
+        ORDER BY scored.selection_score DESC, hitrate DESC, min_support DESC, min_confidence DESC, config_id LIMIT 1""",
     "user_evaluation": f"""
         SELECT c.* REPLACE ({_text('ground_truth', 'context_items')}),
           coalesce(array_to_string(recommendations, ','), '') AS recommendations,
@@ -657,14 +714,26 @@ BODIES = {
         FROM contexts c LEFT JOIN (SELECT * FROM lists WHERE config_id = '{config_id(*FINAL)}') l USING (user_id)""",
     "recommend_baskets": "SELECT * FROM served",
     "popularity_fallback": "SELECT * FROM fallback",
-    "serve_baskets": """
-        SELECT source, rank, count(*) AS rows, count(rule_id) AS with_rule,
-          CAST(sum(product_id) AS BIGINT) AS product_sum, CAST(sum(purchase_count) AS BIGINT) AS purchases
-        FROM (SELECT * FROM served UNION ALL SELECT * FROM fallback) GROUP BY ALL""",
+    "serve_baskets": "SELECT * FROM served UNION ALL SELECT * FROM fallback",
     "showcase_baskets": f"""
         SELECT order_id, {_text('items')}, array_to_string(list(product_id ORDER BY rank), ',') AS recommendations
         FROM dept_baskets JOIN served USING (order_id) WHERE basket_size <= 10
         GROUP BY order_id, items, basket_size HAVING count(*) = 5 ORDER BY basket_size, order_id LIMIT 20""",
+    "product_itemsets": f"SELECT {_text('items')}, freq FROM p_itemsets",
+    "product_rules": f"""
+        SELECT {_text('antecedent', 'consequent')}, confidence, lift, support,
+          {_text('antecedent_names', 'consequent_names')} FROM p_named""",
+    "product_recommend": """
+        SELECT order_id, rank, product_id, product_name, label AS source_rule, rule_id, confidence, lift, support
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY order_id
+                ORDER BY confidence DESC, lift DESC, support DESC, product_id) AS INTEGER) AS rank
+              FROM (SELECT b.order_id, r.*, r.consequent[1] AS product_id, row_number() OVER (
+                        PARTITION BY b.order_id, r.consequent[1]
+                        ORDER BY r.confidence DESC, r.lift DESC, r.support DESC, r.rule_id) AS place
+                    FROM product_baskets b JOIN p_labels r
+                    ON list_has_all(b.items, r.antecedent) AND NOT list_contains(b.items, r.consequent[1]))
+              WHERE place = 1)
+        JOIN products USING (product_id) WHERE rank <= 5""",
 }
 POWER_TEXT = "CASE WHEN {0} >= 0 THEN CAST(CAST(pow(2.0, {0}) AS BIGINT) AS VARCHAR) ELSE CAST(pow(2.0, {0}) AS VARCHAR) END"
 

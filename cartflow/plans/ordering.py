@@ -2,95 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is numbered in slices.
-HOT_KEY_ROWS = 1_000_000
-# Slices of the tie-breaking id within one day; with the days of a calendar they bound the slices of a key.
-ID_SLICES = 256
 
+def number_within(df: DataFrame, key: str, moment: str, id_column: str, mark: str) -> DataFrame:
+    """Order the rows of each key by (`moment`, `id_column`) and add four columns.
 
-def hot_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The keys with more than `rows` rows. There are at most `count / rows` of them."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).select(key)
-
-
-def _id_slice(df: DataFrame, id_column: str, slices: int) -> Column:
-    """The position of an id in `slices` equal ranges between the smallest and the largest id."""
-    low = df.agg(F.min(id_column)).scalar()
-    high = df.agg(F.max(id_column)).scalar()
-    span = F.greatest(F.ceil((high - low + 1) / F.lit(float(slices))), F.lit(1))
-    return F.floor((F.col(id_column) - low) / span)
-
-
-def number_within(
-    df: DataFrame,
-    key: str,
-    day: str,
-    id_column: str,
-    mark: str,
-    hot_rows: int = HOT_KEY_ROWS,
-    slices: int = ID_SLICES,
-    narrow: DataFrame | None = None,
-) -> DataFrame:
-    """Order the rows of each key by (`day`, `id_column`) and add four columns.
-
-    `position` counts from 1, `previous` is the day one position before, `marked` is the number of rows whose
+    `position` counts from 1, `previous` is the moment one position before, `marked` is the number of rows whose
     `mark` is not null, and `last_marked` the id of the last of them.
 
-    One count per key decides the plan: without hot keys, every key is a window group of at most `hot_rows`
-    rows. `narrow` may name a cheaper frame with the same keys, days and ids to count on.
-    """
-    narrow = df if narrow is None else narrow
-    hot = hot_keys(narrow, key, hot_rows)
-    when_marked = F.when(F.col(mark).isNotNull(), F.struct(day, id_column))
-    if not hot.isEmpty():
-        last = df.groupBy(key).agg(F.count(mark).alias("marked"), F.max(when_marked).alias("last"))
-        numbered = _number_in_slices(df, hot, key, day, id_column, slices, narrow)
-        return numbered.join(last, key).withColumn("last_marked", F.col(f"last.{id_column}")).drop("last")
-    group = Window.partitionBy(key)
-    order = group.orderBy(day, id_column)
-    return df.withColumns(
-        {
-            "position": F.row_number().over(order),
-            "previous": F.lag(day).over(order),
-            "marked": F.count(mark).over(group),
-            "last_marked": F.max(when_marked).over(group)[id_column],
-        }
-    )
-
-
-def _number_in_slices(
-    df: DataFrame, hot: DataFrame, key: str, day: str, id_column: str, slices: int, narrow: DataFrame
-) -> DataFrame:
-    """Number hot keys slice by slice, the other keys as one slice each.
-
-    Slices are cut by day and id range and follow the order. Each is numbered on its own, and a running total
-    over the slice sizes shifts it. The hot keys are few by construction, so they are broadcast.
+    Every key is numbered in slices of one calendar day, whatever its size: a task holds a key's rows of one day
+    and a key's days, never all rows of a key. Counts per slice are combined on the map side; running totals over
+    them shift the positions inside the slices.
     """
-    hot = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
-    id_slice = _id_slice(narrow, id_column, slices)
-    cut = df.join(hot, key, "left").withColumns(
-        {"slice_day": F.when(F.col("is_hot"), F.col(day)), "slice_id": F.when(F.col("is_hot"), id_slice)}
-    )
-    in_slice = Window.partitionBy(key, "slice_day", "slice_id").orderBy(day, id_column)
-    numbered = cut.withColumns({"in_slice": F.row_number().over(in_slice), "before": F.lag(day).over(in_slice)})
-
-    slice_keys = [key, "slice_day", "slice_id"]
-    sizes = (
-        narrow.join(hot, key)
-        .groupBy(key, F.col(day).alias("slice_day"), id_slice.alias("slice_id"))
-        .agg(F.count(F.lit(1)).alias("size"))
+    cut = df.withColumn("slice", F.to_date(moment))
+    place = F.struct(moment, id_column)
+    slices = cut.groupBy(key, "slice").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.count(mark).alias("marks"),
+        F.max(moment).alias("latest"),
+        F.max(F.when(F.col(mark).isNotNull(), place)).alias("last"),
     )
-    by_slice = Window.partitionBy(key).orderBy("slice_day", "slice_id")
-    shifts = sizes.select(
-        *slice_keys,
+    by_slice = Window.partitionBy(key).orderBy("slice")
+    whole = Window.partitionBy(key)
+    shifts = slices.select(
+        key,
+        "slice",
         (F.sum("size").over(by_slice) - F.col("size")).alias("shift"),
-        F.lag("slice_day").over(by_slice).alias("day_before"),
+        F.lag("latest").over(by_slice).alias("before"),
+        F.sum("marks").over(whole).alias("marked"),
+        F.max("last").over(whole)[id_column].alias("last_marked"),
     )
-    return numbered.join(shifts, slice_keys, "left").select(
-        *[numbered[c] for c in df.columns],
-        (F.col("in_slice") + F.coalesce("shift", F.lit(0))).cast("int").alias("position"),
-        F.coalesce("before", "day_before").alias("previous"),
+    in_slice = Window.partitionBy(key, "slice").orderBy(moment, id_column)
+    numbered = cut.withColumns({"in_slice": F.row_number().over(in_slice), "inside": F.lag(moment).over(in_slice)})
+    return numbered.join(shifts, [key, "slice"]).select(
+        *df.columns,
+        (F.col("in_slice") + F.col("shift")).cast("int").alias("position"),
+        F.coalesce("inside", "before").alias("previous"),
+        "marked",
+        "last_marked",
     )

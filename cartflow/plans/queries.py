@@ -91,7 +91,7 @@ def with_lineage(r: Retail) -> DataFrame:
     return files.with_lineage(r.source("lineitem"), RUN_ID).groupBy("run_id").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count("ingestion_time").alias("timed"),
-        F.count_if(F.col("source_file").endswith("lineitem.parquet")).alias("from_lineitem"),
+        F.count_if(F.col("source_file").contains("/lineitem.parquet")).alias("from_lineitem"),
     )
 
 
@@ -118,34 +118,30 @@ def product_catalog(r: Retail) -> DataFrame:
     return files.product_catalog(r.product_dim)
 
 
-@query
-def range_source(r: Retail) -> DataFrame:
-    """As many numbers as there are orders."""
-    numbers = files.number_range(r.spark, r.source("orders").count())
-    return numbers.agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high"))
+# --- data quality -----------------------------------------------------------------------------------------
 
 
-# --- data quality -----------------------------------------------------------------------------------------
+# How to get each retail table; a query builds only those it asks for.
+RETAIL_TABLES: dict[str, Callable[[Retail], DataFrame]] = {
+    "aisles": lambda r: r.aisles,
+    "departments": lambda r: r.departments,
+    "products": lambda r: r.products,
+    "orders": lambda r: r.stored_orders,
+    "order_products_prior": lambda r: r.split_items("prior"),
+    "order_products_train": lambda r: r.split_items("train"),
+}
 
 
 def retail_tables(r: Retail) -> dict[str, DataFrame]:
-    return {
-        "aisles": r.aisles,
-        "departments": r.departments,
-        "products": r.products,
-        "orders": r.stored_orders,
-        "order_products_prior": r.split_items("prior"),
-        "order_products_train": r.split_items("train"),
-    }
+    return {name: build(r) for name, build in RETAIL_TABLES.items()}
 
 
 def rules_on(r: Retail, tables: dict[str, list[str]]) -> DataFrame:
     """The named rules of several tables: `(table, rule, n)`."""
-    frames = retail_tables(r)
     found = []
     for table, names in tables.items():
         rules = {name: r.specs[table].rules[name] for name in names}
-        found.append(labelled(quality.rule_profile(frames[table], rules), "table", table))
+        found.append(labelled(quality.rule_profile(RETAIL_TABLES[table](r), rules), "table", table))
     return stack(found)
 
 
@@ -154,6 +150,8 @@ def rule_positive_key(r: Retail) -> DataFrame:
     return rules_on(
         r,
         {
+            "aisles": ["aisle_id"],
+            "departments": ["department_id"],
             "products": ["product_id", "aisle_id", "department_id"],
             "orders": ["order_id", "user_id", "order_number"],
             "order_products_prior": ["order_id", "product_id", "add_to_cart_order"],
@@ -169,7 +167,8 @@ def rule_between(r: Retail) -> DataFrame:
 
 @query
 def rule_isin(r: Retail) -> DataFrame:
-    return rules_on(r, {"orders": ["eval_set"], "order_products_prior": ["reordered"]})
+    items = {f"order_products_{split}": ["reordered"] for split in ("prior", "train")}
+    return rules_on(r, {"orders": ["eval_set"], **items})
 
 
 @query
@@ -213,11 +212,10 @@ def profile_table(r: Retail) -> DataFrame:
 
 @query
 def table_status(r: Retail) -> DataFrame:
-    frames = retail_tables(r)
     return stack(
         [
-            quality.table_status(quality.profile_table(frames[name], r.specs[name]), r.specs[name])
-            for name in ("aisles", "departments", "products", "orders")
+            quality.table_status(quality.profile_table(df, r.specs[name]), r.specs[name])
+            for name, df in retail_tables(r).items()
         ]
     )
 
@@ -237,7 +235,14 @@ def reconcile_rows(r: Retail) -> DataFrame:
 
 @query
 def lineage_null_rows(r: Retail) -> DataFrame:
-    return quality.lineage_null_rows(files.with_lineage(r.source("lineitem"), RUN_ID))
+    """As ingested, and with the source of the returned lines blanked and the run of early lines missing."""
+    whole = files.with_lineage(r.source("lineitem"), RUN_ID)
+    source = F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("source_file"))
+    run = F.when(F.col("l_linenumber") > 1, F.col("run_id"))
+    faulty = whole.withColumns({"source_file": source, "run_id": run})
+    return stack(
+        [labelled(quality.lineage_null_rows(df), "lines", name) for name, df in (("whole", whole), ("faulty", faulty))]
+    )
 
 
 @query
@@ -271,7 +276,12 @@ def single_target_per_user(r: Retail) -> DataFrame:
 
 @query
 def target_after_context(r: Retail) -> DataFrame:
-    return quality.target_after_context(r.contexts)
+    """As built, and with target and context swapped, where every one is a fault."""
+    numbers = "train_order_number", "context_order_number"
+    swapped = r.contexts.select(*[F.col(a).alias(b) for a, b in zip(numbers, reversed(numbers))])
+    return stack(
+        [labelled(quality.target_after_context(df), "pairs", n) for n, df in (("built", r.contexts), ("swapped", swapped))]
+    )
 
 
 @query
@@ -292,7 +302,14 @@ def invalid_itemsets(r: Retail) -> DataFrame:
 
 @query
 def invalid_lookup(r: Retail) -> DataFrame:
-    return quality.invalid_lookup(r.lookup).agg(F.count(F.lit(1)).alias("n"))
+    """As built, with seed and product swapped, and with the products of half the rules missing."""
+    seed, product = "antecedent_product_id", "recommended_product_id"
+    swapped = r.lookup.withColumns({seed: F.col(product), product: F.col(seed)})
+    missing = r.lookup.withColumn(product, F.when(F.col(product) % 2 == 0, F.col(product)))
+    frames = {"built": r.lookup, "swapped": swapped, "missing": missing}
+    return stack(
+        [labelled(quality.invalid_lookup(df).agg(F.count(F.lit(1)).alias("n")), "lookup", n) for n, df in frames.items()]
+    )
 
 
 @query
@@ -540,7 +557,7 @@ def rule_metrics(r: Retail) -> DataFrame:
 
 @query
 def grid_metrics(r: Retail) -> DataFrame:
-    metrics = mining.grid_metrics(r.mined.itemsets, r.mined.rules, GRID, r.mined.baskets)
+    metrics = mining.grid_metrics(r.mined.itemsets, r.mined.rules, r.mined.grid, r.mined.baskets)
     return rounded(metrics, "avg_support", "avg_confidence", "avg_lift", "median_lift")
 
 
@@ -607,21 +624,23 @@ def match_rules(r: Retail) -> DataFrame:
     """Matches of all cells; each names the cells whose rules contain it."""
     index = r.rule_index
     found = recommend.with_rule(recommend.match_rules(r.contexts, index), index)
-    return flat(found.select("user_id", "rule_id", "product_id", "config_ids"))
+    cells = index.select("rule_rank", "config_ids")
+    return flat(found.join(cells, "rule_rank").select("user_id", "rule_id", "product_id", "config_ids"))
 
 
 @query
 def exclude_owned(r: Retail) -> DataFrame:
-    """The most popular departments as candidates for every user, minus those in the last basket."""
-    offers = r.popular.agg(F.sort_array(F.collect_list("product_id")))
-    candidates = r.contexts.select("user_id", F.explode(offers.scalar()).alias("product_id"))
-    return recommend.exclude_owned(candidates, r.contexts)
+    """The matches of all rules, before and after those with an owned product are dropped."""
+    found = recommend.matched_rules(r.contexts, r.rule_index)
+    kept = recommend.exclude_owned(found)
+    count = [F.count(F.lit(1)).alias("matches"), F.countDistinct("user_id", "product_id").alias("offers")]
+    return stack([labelled(df.agg(*count), "owned", name) for name, df in (("with", found), ("without", kept))])
 
 
 @query
 def best_rule_per_product(r: Retail) -> DataFrame:
     index = r.rule_index
-    best = recommend.best_rule_per_product(recommend.match_rules(r.contexts, index))
+    best = recommend.best_rule_per_product(recommend.match_rules(r.contexts, index), index)
     return recommend.with_rule(best, index).drop("rule_rank")
 
 
@@ -632,13 +651,13 @@ def recommend_topk(r: Retail) -> DataFrame:
 
 @query
 def coverage_hits(r: Retail) -> DataFrame:
-    return recommend.coverage_hits(r.predictions, r.contexts)
+    return recommend.coverage_hits(r.predictions, r.contexts, [name for name, _, _ in r.mined.grid.cells])
 
 
 def scored_grid(r: Retail) -> DataFrame:
     """Fit times differ from run to run; here they enter as 0."""
     metrics = r.mined.metrics().withColumn("fit_seconds", F.lit(0.0))
-    return recommend.selection_score(metrics, recommend.coverage_hits(r.predictions, r.contexts), TIMEOUT_SECONDS)
+    return recommend.selection_score(metrics, recommend.coverage_hits(r.predictions, r.contexts, [name for name, _, _ in r.mined.grid.cells]), TIMEOUT_SECONDS)
 
 
 @query
@@ -661,26 +680,41 @@ def user_evaluation(r: Retail) -> DataFrame:
 
 @query
 def recommend_baskets(r: Retail) -> DataFrame:
-    return recommend.recommend_baskets(r.stored_baskets, r.lookup)
+    return recommend.recommend_baskets(r.stored_baskets, r.lookup, r.department_names)
 
 
 @query
 def popularity_fallback(r: Retail) -> DataFrame:
-    by_rule = recommend.recommend_baskets(r.stored_baskets, r.lookup)
-    return recommend.popularity_fallback(r.stored_baskets, by_rule, r.popular)
+    by_rule = recommend.recommend_baskets(r.stored_baskets, r.lookup, r.department_names)
+    return recommend.popularity_fallback(r.stored_baskets, by_rule, r.popular, r.department_names)
 
 
 @query
 def serve_baskets(r: Retail) -> DataFrame:
-    served = recommend.serve(r.stored_baskets, r.lookup, r.popular)
-    return served.groupBy("source", "rank").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count("rule_id").alias("with_rule"),
-        F.sum("product_id").cast("long").alias("product_sum"),
-        F.sum("purchase_count").cast("long").alias("purchases"),
-    )
+    return recommend.serve(r.stored_baskets, r.lookup, r.popular, r.department_names)
 
 
 @query
 def showcase_baskets(r: Retail) -> DataFrame:
-    return flat(recommend.showcase_baskets(r.stored_baskets, r.lookup, n=20))
+    return flat(recommend.showcase_baskets(r.stored_baskets, r.lookup, r.department_names, n=20))
+
+
+# --- single parts -----------------------------------------------------------------------------------------
+
+
+@query
+def product_itemsets(r: Retail) -> DataFrame:
+    return flat(r.product_mined.itemsets)
+
+
+@query
+def product_rules(r: Retail) -> DataFrame:
+    return flat(r.product_rules.drop("rule_id"))
+
+
+@query
+def product_recommend(r: Retail) -> DataFrame:
+    """All observed baskets against the rules over single parts."""
+    lookup = recommend.recommendation_lookup(r.product_rules)
+    kept = ["order_id", "rank", "product_id", "product_name", "source_rule", "rule_id", "confidence", "lift", "support"]
+    return recommend.recommend_baskets(r.stored_product_baskets, lookup, r.product_names).select(*kept)

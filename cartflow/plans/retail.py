@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from cartflow.operators import kpi, mining, recommend, silver
 from cartflow.operators.mining import Grid, MinedGrid
-from cartflow.plans.ordering import HOT_KEY_ROWS, number_within
-from cartflow.session import materialize, size_shuffles
+from cartflow.plans.ordering import number_within
+from cartflow.session import materialize
 from cartflow.sources.specs import table_specs
 
 # Thresholds that give non-empty cells on data whose items are close to independent.
 GRID = Grid(supports=(0.002, 0.005, 0.01), confidences=(0.10, 0.15, 0.18))
 # The cell whose rules are served; it leaves some baskets without a rule.
 FINAL = (0.005, 0.18)
+# Single parts: an itemset counts from so many baskets on.
+PRODUCT_BASKETS = 3
 # Fixed value: the longest gap the source tables record.
 MAX_GAP_DAYS = 30
 
@@ -24,17 +26,15 @@ MAX_GAP_DAYS = 30
 class Retail:
     """Retail tables over the sales tables in one folder.
 
-    Every property is a lazy plan except where it says `stored`. Items for mining are departments: single
-    parts hardly ever meet in two orders.
+    Every property is a lazy plan except where it says `stored`. The grid mines departments, whose baskets are
+    dense; the `product_` properties mine and serve single parts, a wide alphabet of rare items.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, hot_rows: int = HOT_KEY_ROWS):
+    def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-        self.hot_rows = hot_rows
         self.specs = table_specs("long")
         self._sources: dict[str, DataFrame] = {}
-        size_shuffles(spark, *[f"{self.folder}/{name}.parquet" for name in ("orders", "lineitem")])
 
     def source(self, name: str) -> DataFrame:
         if name not in self._sources:
@@ -70,9 +70,7 @@ class Retail:
         )
         observed = self.raw_lines.select("order_id").distinct().withColumn("observed", F.lit(True))
         seen = placed.join(observed, "order_id", "left")
-        numbered = number_within(
-            seen, "user_id", "placed", "order_id", mark="observed", hot_rows=self.hot_rows, narrow=placed
-        )
+        numbered = number_within(seen, "user_id", "placed", "order_id", mark="observed")
         is_last = (F.col("marked") >= 2) & (F.col("order_id") == F.col("last_marked"))
         gap = F.least(F.date_diff("placed", "previous"), F.lit(MAX_GAP_DAYS)).cast("double")
         return numbered.select(
@@ -193,9 +191,8 @@ class Retail:
 
     @cached_property
     def stored_training(self) -> DataFrame:
-        """Stored in at least one part per core: the miner builds its trees per part."""
-        parts = self.spark.sparkContext.defaultParallelism
-        return materialize(mining.training_baskets(self.stored_baskets, self.stored_orders, partitions=parts), "training")
+        """Stored; the miner reads it several times."""
+        return materialize(mining.training_baskets(self.stored_baskets, self.stored_orders), "training")
 
     @cached_property
     def mined(self) -> MinedGrid:
@@ -220,9 +217,8 @@ class Retail:
     @cached_property
     def final_rules(self) -> DataFrame:
         """Stored: the named useful rules of the served cell."""
-        support, confidence = FINAL
-        level = mining.association_rules(self.mined.itemsets, self.mined.baskets, confidence, support)
-        named = mining.rule_names(mining.useful_rules(level, confidence).drop("freq"), self.department_names)
+        level = self.mined.cell_rules(*FINAL)
+        named = mining.rule_names(mining.useful_rules(level, FINAL[1]).drop("freq"), self.department_names)
         return materialize(named, "association_rules")
 
     @cached_property
@@ -243,3 +239,26 @@ class Retail:
     def predictions(self) -> DataFrame:
         """Stored: recommendations of all grid cells."""
         return materialize(recommend.recommendations(self.contexts, self.rule_index), "predictions")
+
+    # --- single parts ---
+
+    @cached_property
+    def stored_product_baskets(self) -> DataFrame:
+        return materialize(silver.baskets(self.raw_lines, self.stored_orders), "product_baskets")
+
+    @cached_property
+    def product_mined(self) -> MinedGrid:
+        """Stored: itemsets and rules of single parts; the support stands for PRODUCT_BASKETS baskets."""
+        training = materialize(mining.training_baskets(self.stored_product_baskets, self.stored_orders), "training")
+        support = (PRODUCT_BASKETS - 0.5) / max(training.count(), PRODUCT_BASKETS)
+        return mining.mine_grid(training, Grid((support,), (0.0,)))
+
+    @cached_property
+    def product_names(self) -> DataFrame:
+        return self.products.select("product_id", "product_name")
+
+    @cached_property
+    def product_rules(self) -> DataFrame:
+        """Stored: the named useful rules over single parts."""
+        useful = mining.useful_rules(self.product_mined.rules, 0.0).drop("freq")
+        return materialize(mining.rule_names(useful, self.product_names), "product_rules")

@@ -5,9 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "cartflow", master: str | None = None, **conf) -> SparkSession:
@@ -29,8 +29,6 @@ def build_session(app_name: str = "cartflow", master: str | None = None, **conf)
 
 # Input bytes per shuffle partition. The plans shuffle a few narrow columns, so a partition is far smaller than this.
 PARTITION_BYTES = 256 * 1024 * 1024
-# More partitions cost the driver more than they help the tasks.
-MAX_PARTITIONS = 50_000
 
 
 def input_bytes(spark: SparkSession, *paths: str) -> int:
@@ -43,20 +41,29 @@ def input_bytes(spark: SparkSession, *paths: str) -> int:
     return total
 
 
-def size_shuffles(spark: SparkSession, *paths: str) -> int:
-    """Raise `spark.sql.shuffle.partitions` to fit the input; it is never lowered.
+def partitions_for(spark: SparkSession, *paths: str) -> int:
+    """Shuffle partitions that fit the input, at least as many as the session has."""
+    wanted = math.ceil(input_bytes(spark, *paths) / PARTITION_BYTES)
+    return max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, *paths: str):
+    """Run the jobs inside with shuffle partitions for these inputs; the session's own number comes back after.
 
     Adaptive execution merges small partitions but does not split large ones, so the number has to start high.
     """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(math.ceil(input_bytes(spark, *paths) / PARTITION_BYTES), MAX_PARTITIONS)
-    if wanted > current:
-        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    return max(wanted, current)
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(partitions_for(spark, *paths)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in `spark.checkpoint.dir`.
+    """The folder the cluster names in `spark.checkpoint.dir`; it may be a mount that all executors share.
 
     Only a local session may fall back to a folder of this machine: executors elsewhere could not read it.
     """
@@ -70,8 +77,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The part of the scratch folder that belongs to this application."""
+    return f"{scratch_dir(spark).rstrip('/')}/cartflow/{spark.sparkContext.applicationId}"
+
+
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/cartflow/{name}-{uuid.uuid4().hex}"
+    """A new path for one stored table. All of them go when the application ends."""
+    root = scratch_root(spark)
+    fs, folder = _folder(spark, root)
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored, once no frame that reads it is needed any more."""
+    fs, folder = _folder(spark, scratch_root(spark))
+    fs.delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -83,11 +112,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "snappy").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_within(stored: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast of a stored table only when its row count is within `max_rows`.
-
-    Above it the hint is left out and Spark shuffles both sides, splitting skewed partitions as it goes.
-    """
-    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -10,16 +10,7 @@ BUCKETS = 10_000
 
 def bucket_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     """Rows whose key falls in the first `fraction` of 10 000 buckets; equal keys stay together."""
-    if not 0 < fraction <= 1:
-        raise ValueError("fraction must be in (0, 1]")
     chosen = round(fraction * BUCKETS)
-    if chosen < 1:
-        raise ValueError(f"fraction must be at least {1 / BUCKETS}")
+    if not 1 <= chosen <= BUCKETS:
+        raise ValueError(f"a share of {fraction} does not fill 1 to {BUCKETS} buckets")
     return df.where(F.pmod(F.col(key), F.lit(BUCKETS)) < chosen)
-
-
-def sample_tables(tables: dict[str, DataFrame], fraction: float, key: str = "order_id") -> dict[str, DataFrame]:
-    """Sample every table that has the key; dimensions stay whole."""
-    return {
-        name: bucket_sample(df, key, fraction) if key in df.columns else df for name, df in tables.items()
-    }

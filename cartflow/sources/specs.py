@@ -31,6 +31,10 @@ class TableSpec:
     def columns(self) -> list[str]:
         return self.schema.fieldNames()
 
+    @property
+    def casts(self) -> list[str]:
+        return [f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in self.schema]
+
     @property
     def required(self) -> list[str]:
         return [name for name in self.columns if name not in self.nullable]
@@ -65,21 +69,48 @@ HOURS = (0, 23)
 GAP_DAYS = (0, 30)
 MIN_KEY = 1
 
-COUNTERS = ("order_number", "add_to_cart_order")
 GAP = "days_since_prior_order"
 
+# Rules are built late: columns need a running session.
+Rule = Callable[[], Column]
+
+
+def key(name: str) -> Rule:
+    return lambda: checks.not_positive(name, MIN_KEY)
+
 
-def value_rule(name: str) -> Callable[[], Column]:
-    """The rule that the name of a column implies. Rules are built late: columns need a running session."""
-    if name.endswith("_id") or name in COUNTERS:
-        return lambda: checks.not_positive(name, MIN_KEY)
-    return {
-        "order_dow": lambda: checks.outside(name, *WEEKDAYS),
-        "order_hour_of_day": lambda: checks.outside(name, *HOURS),
-        "reordered": lambda: checks.not_in(name, FLAGS),
-        "eval_set": lambda: checks.not_in(name, EVAL_SETS),
-        GAP: lambda: checks.outside_or_nan(name, *GAP_DAYS),
-    }.get(name, lambda: checks.blank(name))
+def text(name: str) -> Rule:
+    return lambda: checks.blank(name)
+
+
+ITEM_RULES = {
+    "order_id": key("order_id"),
+    "product_id": key("product_id"),
+    "add_to_cart_order": key("add_to_cart_order"),
+    "reordered": lambda: checks.not_in("reordered", FLAGS),
+}
+RULES: dict[str, dict[str, Rule]] = {
+    "aisles": {"aisle_id": key("aisle_id"), "aisle": text("aisle")},
+    "departments": {"department_id": key("department_id"), "department": text("department")},
+    "products": {
+        "product_id": key("product_id"),
+        "product_name": text("product_name"),
+        "aisle_id": key("aisle_id"),
+        "department_id": key("department_id"),
+    },
+    "orders": {
+        "order_id": key("order_id"),
+        "user_id": key("user_id"),
+        "eval_set": lambda: checks.not_in("eval_set", EVAL_SETS),
+        "order_number": key("order_number"),
+        "order_dow": lambda: checks.outside("order_dow", *WEEKDAYS),
+        "order_hour_of_day": lambda: checks.outside("order_hour_of_day", *HOURS),
+        GAP: lambda: checks.outside_or_nan(GAP, *GAP_DAYS),
+        f"{GAP}_consistency": lambda: checks.gap_mismatch("order_number", GAP),
+    },
+    "order_products_prior": ITEM_RULES,
+    "order_products_train": ITEM_RULES,
+}
 
 
 def declared_schema(columns: dict[str, str], id_type: str = "integer") -> T.StructType:
@@ -93,9 +124,6 @@ def table_specs(id_type: str = "integer") -> dict[str, TableSpec]:
     """All source tables by name. `id_type="long"` serves key ranges beyond 32 bits."""
     specs = {}
     for name, (file, columns, keys) in LAYOUT.items():
-        rules = {column: value_rule(column) for column in columns}
-        if GAP in rules:
-            rules[f"{GAP}_consistency"] = lambda: checks.gap_mismatch("order_number", GAP)
         specs[name] = TableSpec(
             name=name,
             file=file,
@@ -103,6 +131,6 @@ def table_specs(id_type: str = "integer") -> dict[str, TableSpec]:
             keys=keys,
             nullable=tuple(column for column in columns if column == GAP),
             free_text=name in ("aisles", "departments", "products"),
-            rules=rules,
+            rules=RULES[name],
         )
     return specs

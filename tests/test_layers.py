@@ -121,9 +121,16 @@ def test_gold_serves_observed_baskets(spark, built):
     products = files.read_table(spark, f"{root}/silver", "products")
     lookup = files.read_table(spark, f"{root}/gold", "recommendation_lookup")
     popular = kpi.top_products(items, products).select("product_id", "count")
-    served = recommend.serve(baskets, lookup, popular)
+    served = recommend.serve(baskets, lookup, popular, products.select("product_id", "product_name"))
     assert served.join(baskets, "order_id").where(F.array_contains("items", F.col("product_id"))).count() == 0
     assert served.groupBy("order_id").agg(F.count("*").alias("n"), F.countDistinct("source").alias("s")).where(
         "n > 5 OR s > 1"
     ).count() == 0
     assert served.select("order_id").distinct().count() == baskets.count()
+
+
+def test_a_failing_check_publishes_no_gold(spark, built, tmp_path, monkeypatch):
+    monkeypatch.setattr(quality, "target_after_context", lambda df: df.selectExpr("count(*) AS n"))
+    with pytest.raises(ValueError, match="does not follow"):
+        layers.build_gold(spark, f"{built[0]}/silver", str(tmp_path / "gold"), GRID, 8)
+    assert all(name.startswith(".staging_") for name in os.listdir(tmp_path / "gold"))

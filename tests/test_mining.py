@@ -75,18 +75,19 @@ def test_empty_cells_report_zero_counts_and_no_averages(training):
     assert (empty.association_rules, empty.useful_rules, empty.avg_lift, empty.median_lift) == (0, 0, None, None)
 
 
-def test_limits_refuse_and_skip_levels(training, plain_baskets):
+def test_a_limit_stops_the_run(training, plain_baskets):
+    """No other level takes the place of one that grows too far, and no error is swallowed."""
+    level = len(brute_force(plain_baskets, 0.1))
     with pytest.raises(GrowthLimitExceeded):
         mining.frequent_itemsets(training, 0.02, cap=10)
-    level = len(brute_force(plain_baskets, 0.1))
-    mined = mining.mine_grid(training, Grid((0.02, 0.1), (0.2,)), max_itemsets=level)
-    assert list(mined.skipped) == [0.02] and mined.itemsets.count() == level
-    cells = {r.config_id: r for r in mined.metrics().collect()}
-    assert cells["s0.02_c0.2"].status.startswith("SKIPPED")
-    assert cells["s0.02_c0.2"].association_rules is None
-    assert cells["s0.1_c0.2"].status == "PASS"
+    with pytest.raises(GrowthLimitExceeded):
+        mining.mine_grid(training, Grid((0.02, 0.1), (0.2,)), max_itemsets=level)
     with pytest.raises(GrowthLimitExceeded):
         mining.mine_grid(training, Grid((0.02,), (0.2,)), max_rules=3)
+    mined = mining.mine_grid(training, Grid((0.1,), (0.2,)), max_itemsets=level)
+    assert mined.itemsets.count() == level
+    with pytest.raises(ValueError):
+        mined.cell_rules(0.02, 0.2)
 
 
 def test_training_takes_prior_baskets_of_two(spark):

@@ -1,11 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cartflow.plans.ordering import number_within
-from cartflow.plans.retail import Retail
-from conftest import FOLDER
 
 
 @pytest.fixture(scope="module")
@@ -16,20 +15,32 @@ def rows(spark):
     data = [(u, rng.choice(days), i * 3, True if rng.random() < 0.6 else None) for i, u in enumerate(users)]
     rng.shuffle(data)
     return spark.createDataFrame(data, "user int, day string, id int, seen boolean").withColumn(
-        "day", F.to_date("day")
+        "day", F.to_timestamp("day")
     )
 
 
-def numbered(rows, **limits):
+def numbered(rows):
     kept = ("user", "id", "position", "previous", "marked", "last_marked")
-    return sorted(number_within(rows, "user", "day", "id", mark="seen", **limits).select(*kept).collect())
-
-
-@pytest.mark.parametrize("slices", [1, 3, 64])
-@pytest.mark.parametrize("hot_rows", [1, 10, 100])
-def test_slices_number_like_a_window(rows, hot_rows, slices):
-    assert numbered(rows, hot_rows=hot_rows, slices=slices) == numbered(rows)
+    return sorted(number_within(rows, "user", "moment", "id", mark="seen").select(*kept).collect())
+
+
+def by_window(rows):
+    group = Window.partitionBy("user")
+    order = group.orderBy("moment", "id")
+    when_marked = F.when(F.col("seen").isNotNull(), F.struct("moment", "id"))
+    plain = rows.withColumns(
+        {
+            "position": F.row_number().over(order),
+            "previous": F.lag("moment").over(order),
+            "marked": F.count("seen").over(group),
+            "last_marked": F.max(when_marked).over(group)["id"],
+        }
+    )
+    return sorted(plain.select("user", "id", "position", "previous", "marked", "last_marked").collect())
 
 
-def test_hot_users_change_nothing(spark, retail):
-    assert sorted(Retail(spark, FOLDER, hot_rows=12).orders.collect()) == sorted(retail.orders.collect())
+@pytest.mark.parametrize("moment", ["day", "day + make_dt_interval(0, id % 24, id % 60)"])
+def test_slices_number_like_a_window(rows, moment):
+    """Also with times of day, and with equal moments."""
+    timed = rows.withColumn("moment", F.expr(moment))
+    assert numbered(timed) == by_window(timed)

@@ -43,3 +43,13 @@ def test_entry_point(spark):
 
     assert __spark_entry__.entry(spark).count() == 9
     assert __spark_entry__.queries().keys() >= __spark_entry__.oracle_sql().keys() >= BUILDERS.keys()
+
+
+def test_rule_queries_build_only_their_tables(spark, monkeypatch):
+    from cartflow.plans import retail as module
+
+    stored = []
+    monkeypatch.setattr(module, "materialize", lambda df, name: stored.append(name) or df)
+    for name in ("rule_between", "rule_nonblank"):
+        BUILDERS[name](module.Retail(spark, FOLDER)).collect()
+    assert "lines" not in stored and "items" not in stored

@@ -6,17 +6,22 @@ from cartflow import session
 
 
 def test_shuffles_grow_with_the_input_only(spark, tmp_path, monkeypatch):
-    spark.range(1000).write.parquet(str(tmp_path / "t"))
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert session.size_shuffles(spark, str(tmp_path / "t")) == int(before)
-        size = session.input_bytes(spark, str(tmp_path / "t"))
-        monkeypatch.setattr(session, "PARTITION_BYTES", size // 40)
-        assert session.size_shuffles(spark, str(tmp_path / "t")) in (40, 41)
-        monkeypatch.setattr(session, "MAX_PARTITIONS", 30)
-        assert session.size_shuffles(spark, str(tmp_path / "t")) in (40, 41)
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    path, name = str(tmp_path / "t"), "spark.sql.shuffle.partitions"
+    spark.range(1000).write.parquet(path)
+    before = spark.conf.get(name)
+    with session.sized_shuffles(spark, path):
+        assert spark.conf.get(name) == before
+    monkeypatch.setattr(session, "PARTITION_BYTES", session.input_bytes(spark, path) // 40)
+    with session.sized_shuffles(spark, path):
+        assert spark.conf.get(name) in ("40", "41")
+    assert spark.conf.get(name) == before
+
+
+def test_stored_tables_can_be_deleted(spark):
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    hidden = session.scratch_root(spark).removeprefix("file:")
+    assert os.path.isdir(hidden) and os.path.isdir(path.removeprefix("file:"))
 
 
 def test_intermediates_are_files_without_lineage(spark):
@@ -49,10 +54,3 @@ def test_only_a_local_session_makes_its_own_folder():
     assert session.scratch_dir(local) == local.folder
     with pytest.raises(ValueError):
         session.scratch_dir(Unset("yarn"))
-
-
-@pytest.mark.parametrize("limit, hinted", [(10, True), (9, False)])
-def test_broadcasts_are_checked(spark, limit, hinted):
-    stored = session.materialize(spark.range(10), "small")
-    plan = session.broadcast_within(stored, limit)._jdf.queryExecution().analyzed().toString()
-    assert ("broadcast" in plan) == hinted

@@ -46,7 +46,7 @@ def skewed(tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def results(spark, skewed):
-    return Retail(spark, skewed, hot_rows=1000), connect(skewed), oracle()
+    return Retail(spark, skewed), connect(skewed), oracle()
 
 
 @pytest.mark.parametrize("name", CHECKED)
