@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cartflow.llm.common import materialize, per_batch, text_of
 
 WINDOW = 8
-LITERALS = 5  # plain words that a window needs
+LITERALS = 4  # plain words that a window needs
 SHARE = 0.5
 FILTER_BITS = 24  # of the Bloom filter over the benchmark's windows; its size does not depend on the benchmark
 
