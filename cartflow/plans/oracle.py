@@ -640,6 +640,9 @@ BODIES = {
             _rows("silver", "order_items_enriched", "items", "enriched"),
             _rows("silver", "baskets", "items", "product_baskets"),
             _rows("gold", "training_baskets", "dept_baskets", "training"),
+            _rows("gold", "association_rules", "rules", "final"),
+            _rows("gold", "recommendation_lookup", "final", "(SELECT unnest(antecedent) FROM final)"),
+            *[_rows("bronze", name, name, name) for name in ("orders", "lineitem", "part")],
         ]
     ),
     "training_baskets": f"SELECT order_id, user_id, {_text('items')} FROM training",

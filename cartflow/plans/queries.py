@@ -512,6 +512,12 @@ def layer_row_counts(r: Retail) -> DataFrame:
             ("silver", "order_items_enriched", [items], silver.order_items_enriched(items, r.stored_products)),
             ("silver", "baskets", [items], silver.baskets(items, orders)),
             ("gold", "training_baskets", [r.stored_baskets], r.stored_training),
+            ("gold", "association_rules", [r.mined.rules], r.final_rules),
+            ("gold", "recommendation_lookup", [r.final_rules], r.lookup),
+            *[
+                ("bronze", name, [r.source(name)], files.with_lineage(r.source(name), RUN_ID))
+                for name in ("orders", "lineitem", "part")
+            ],
         ]
     )
 
