@@ -77,4 +77,19 @@ QUERIES = {
 
 # SQL cannot express tokenizers, learned models or edit distances over word sequences; those queries are tested
 # against brute force, other libraries or held-out labels in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_maxscore": """
+        WITH usable AS (
+          SELECT CAST(vec_id AS BIGINT) AS vec_id,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM usable q JOIN usable c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank, vec_id, score FROM (
+          SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+          FROM scored)
+        WHERE rank <= 5""",
+}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cartflow.llm import bpe, maxscore, queries
+from compare import connect, differences
 from test_dedup import plain_removal
 
 
@@ -32,6 +33,11 @@ def test_the_whole_table(spark, sample, shard_rows, block):
         assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in queries.op8_maxscore(spark, sample).collect()} == expected
 
 
+def test_the_query_equals_sql(spark, sample):
+    found = queries.op8_maxscore(spark, sample)
+    assert differences(found, queries.ORACLE_SQL["op8_maxscore"], connect(sample)) == []
+
+
 def test_sparse_vectors_ties_and_chunks(spark, monkeypatch):
     random = np.random.default_rng(1)
     dense = random.integers(-3, 4, (700, 12)) * (random.random((700, 12)) < 0.3)
