@@ -150,12 +150,16 @@ def fit_language(docs: DataFrame, rows: int = SAMPLE_PER_LANGUAGE) -> ByteNet:
     """Learn from a bounded sample: about `rows` documents of each language, chosen by a hash of the id."""
     usable = docs.select(docs["doc_id"], docs["lang"], text_of(docs).alias("text"))
     usable = usable.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
+    # One number per language, as many as the model has outputs.
+    counts = usable.groupBy("lang").count().collect()
+    if not counts:
+        return fit_net([], [])
     slots = 1_000_000
-    counts = usable.groupBy(F.col("lang").alias("name")).agg((F.lit(slots * rows) / F.count("*")).alias("share"))
-    chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(slots)) < F.col("share")
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], slots * rows / r["count"])])
+    chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(slots)) < F.element_at(share, F.col("lang"))
     first = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
     passage = F.substring("text", first.cast("int"), F.lit(SAMPLE_CHARS))
-    sample = usable.join(counts, F.col("lang") == F.col("name")).where(chosen).select(passage.alias("text"), "lang")
+    sample = usable.where(chosen).select(passage.alias("text"), "lang")
     got = sorted((r.text, r.lang) for r in sample.collect())
     return fit_net([t for t, _ in got], [x for _, x in got])
 
