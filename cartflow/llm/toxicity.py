@@ -75,7 +75,7 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             for at in memo[word]:
                 counts[at] += times
         share = np.array(list(counts.values()), np.float32)
-        out.append((np.array(list(counts), np.int64), share / max(1.0, float(share.sum()))))
+        out.append((np.array(list(counts), np.int32), share / max(1.0, float(share.sum()))))
     return out
 
 
