@@ -19,12 +19,14 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,9 @@ class WaveletMatrix:
     def planes(ids: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         """The bits of each level from the highest, and how many of them are zero."""
         bits = max(1, int(ids.max()).bit_length()) if ids.size else 1
+        ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            one = (ids >> np.uint32(level)) & np.uint32(1) != 0
+            one = ids & ids.dtype.type(1 << level) != 0
             low, high = ids[~one], ids[one]
             yield np.packbits(one), low.size
             ids = np.concatenate((low, high))
@@ -120,16 +123,16 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, put together from the lowest plane upwards."""
-        values = np.zeros(self.size, np.uint32)
+        values = np.zeros(self.size, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             blocks = range(-(-self.size // BLOCK_BITS))
             raw = b"".join(self.plane(level, block) for block in blocks)
             one = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.size).view(bool)
             above = np.empty_like(values)
             above[~one] = values[: self.zeros[level]]
-            above[one] = values[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            above[one] = values[self.zeros[level] :] | values.dtype.type(1 << (self.bits - 1 - level))
             values = above
-        return values
+        return values.astype("<u4", copy=False)
 
 
 def pack_shard(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) -> bytes:
@@ -176,12 +179,15 @@ class Shard:
 
 
 class Tokenizer:
-    """The library's ids of whole texts, with the ids of recurring words remembered.
+    """The library's ids of whole texts, with the ids of recurring parts remembered.
 
     The vocabulary's pattern starts a new pre-token at each space before a visible character, so a text's ids are
-    those of its parts. Texts with an added token's string go to the library as a whole.
+    those of its units, and a unit's those of its pre-tokens. Texts with an added token's string go to the library
+    as a whole, and so do units with characters whose class may differ between versions of Unicode.
     """
 
+    SETTLED = "\u0250"  # below it, letters and digits are the same in all versions
+
     def __init__(self, path: str):
         import tokenizers
 
@@ -189,26 +195,39 @@ class Tokenizer:
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.start = re.compile(r" (?=\S)")
-        self.memo = Memo(self.encode_whole)
+        self.pretokens = regex.compile(public_tokenizers.PATTERN)
+        self.units = Memo(lambda unit: self.encode_whole(" " + unit), 250_000)  # by the text behind the space
+        self.parts = Memo(self.encode_whole)
 
     def encode_whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        memo, parted = self.memo, []
-        for text in texts:
-            if self.added and self.added.search(text):
-                parted.append(None)
-            else:
-                first, *rest = self.start.split(text)
-                parted.append([first, *[" " + x for x in rest]])
-        new = list({unit for units in parted if units for unit in units if unit not in memo and unit not in memo.old})
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        cut = [self.pretokens.findall(u) if u and max(u) < self.SETTLED else [u] for u in units]
+        parts = self.parts
+        new = list(set().union(*cut) - parts.keys() - parts.old.keys())
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for unit, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[unit] = np.array(got.ids, "<u4").tobytes()
-        out = [self.encode_whole(t) if p is None else b"".join([memo[u] for u in p]) for t, p in zip(texts, parted, strict=True)]
-        memo.trim()
+            for part, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                parts[part] = array("I", got.ids).tobytes()
+        out = [b"".join([parts[x] for x in c]) for c in cut]
+        parts.trim()
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        units, firsts, rests = self.units, [], []
+        for text in texts:
+            whole = self.added and self.added.search(text)
+            first, *rest = [text] if whole else self.start.split(text)
+            firsts.append(None if whole else first)
+            rests.append(rest)
+        new = list(set().union(*rests) - units.keys() - units.old.keys())
+        units.update(zip(new, self.encode_units([" " + u for u in new]), strict=True))
+        start = iter(self.encode_units([f for f in firsts if f is not None]))
+        look = units.__getitem__
+        heads = [self.encode_whole(t) if f is None else next(start) for t, f in zip(texts, firsts, strict=True)]
+        out = [head + b"".join(map(look, rest)) for head, rest in zip(heads, rests, strict=True)]
+        units.trim()
         return out
 
 
@@ -307,7 +326,7 @@ def read_documents(manifest: DataFrame, folder: str, keep_ids: bool = True) -> D
     """doc_id, start, n_tokens, ids_crc32 and the ids (little-endian, 32 bits), decoded from the files."""
 
     def use(shard: Shard, start: int) -> Iterator[pa.RecordBatch]:
-        ids, low, starts = shard.matrix.ids().astype("<u4"), 0, np.concatenate(([0], shard.ends[:-1]))
+        ids, low, starts = shard.matrix.ids(), 0, np.concatenate(([0], shard.ends[:-1]))
         step = 2_000
         for low in range(0, len(shard.doc_ids), step):
             cut = slice(low, low + step)
