@@ -254,7 +254,7 @@ def write_shards(
 
     One range shuffle by id; a task then encodes its range and keeps at most one shard in memory. File names are
     new for every attempt, and the table is stored by Spark's committer, so it names the files of successful attempts
-    only. `start` sums the tokens of earlier shards over this table of one row per shard.
+    only. `start` sums the tokens of earlier shards: within a task's range, and over one row per task.
     """
     path = path or public_tokenizers.path(MODEL)
     ship_package(docs.sparkSession)
@@ -303,8 +303,12 @@ def write_shards(
     order = ["doc_id", F.xxhash64("text")]
     written = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, MANIFEST)
     stored = materialize(written, "wavelet-manifest")
-    earlier = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    return stored.withColumn("start", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0).cast("bigint")))
+    before = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("of_part"))
+    ahead = F.coalesce(F.sum("of_part").over(before(Window.orderBy("part"))), F.lit(0))
+    inside = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("shard"))), F.lit(0))
+    shifted = stored.withColumn("inside", inside).join(parts.select("part", ahead.alias("ahead")), "part")
+    return shifted.select(*stored.columns, (F.col("ahead") + F.col("inside")).cast("bigint").alias("start"))
 
 
 def each_shard(manifest: DataFrame, folder: str, use, schema: str) -> DataFrame:
