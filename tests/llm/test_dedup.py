@@ -119,6 +119,42 @@ def test_the_whole_table_against_all_candidates(spark, sample):
     assert all(got[rows[i].doc_id].class_size == expected.count(root) for i, root in enumerate(expected))
 
 
+def scattered(rng, base, share, vocabulary):
+    return [rng.choice(vocabulary) if rng.random() < share else w for w in base]
+
+
+def test_noisy_copies_meet_their_original_without_being_centre(spark):
+    """1,000 copies with 15 % of the words replaced align with the original and not with each other."""
+    rng = random.Random(15)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    words = [base] + [scattered(rng, base, 0.15, vocabulary) for _ in range(1000)]
+    coded = [np.array([int(w[1:]) for w in t], np.uint16) for t in words]
+    pairs = [(a, b) for a in range(len(words)) for b in range(a) if b == 0 or (coded[a] == coded[b]).mean() > 0.75]
+    similar = alignment.within([(coded[a], coded[b]) for a, b in pairs], 0.8)
+    expected = roots(len(words), [p for p, s in zip(pairs, similar, strict=True) if s])
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, [" ".join(t) for t in words])).collect()}
+    found = sum(got[i] == 0 for i in range(len(words)))
+    assert all(expected[i] == 0 for i in got if got[i] == 0)
+    assert found >= 0.75 * expected.count(0)
+
+
+def test_blocks_of_a_bucket_meet_each_other(spark):
+    """All pairs of different classes, whatever the blocks; a class with a block of its own is not met with itself."""
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(0, 60000, 40).astype(np.uint16) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        words = bases[i % 6].copy()
+        words[rng.integers(0, 40, 3)] = 7
+        rows.append((1, bytes([i]), bytes([0 if i % 6 == 0 else i]), words.tobytes()))
+    table = spark.createDataFrame(rows, "key long, node binary, root binary, words binary")
+    edges = near_dedup.bucket_links(table.select("key", "node", "root"), table.select("node", "words"), 0.8, block=10).collect()
+    links = [(r.u[0], r.v[0]) for r in edges] + [(0, i) for i in range(0, 90, 6)]
+    assert roots(90, links) == [i % 6 for i in range(90)]
+    assert not any(r.u[0] % 6 == 0 and r.v[0] % 6 == 0 for r in edges)
+
+
 def test_odd_rows_have_classes(odd_docs, no_docs):
     rows = near_dedup.classes(odd_docs).collect()
     assert len(rows) == 12
