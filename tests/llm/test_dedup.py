@@ -139,6 +139,22 @@ def test_noisy_copies_meet_their_original_without_being_centre(spark):
     assert found >= 0.75 * expected.count(0)
 
 
+def test_scattered_edits_are_found(spark):
+    """One copy each with 10 to 20 % of the words replaced; nine in ten of those that align are linked."""
+    rng = random.Random(20)
+    vocabulary, texts, linked = [f"w{i}" for i in range(4000)], [], []
+    for k in range(400):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        near = scattered(rng, base, rng.uniform(0.10, 0.20), vocabulary)
+        texts += [" ".join(base), " ".join(near)]
+        coded = [np.array([int(w[1:]) for w in t], np.uint16) for t in (base, near)]
+        linked.append(bool(alignment.within([tuple(coded)], 0.8)[0]))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, texts)).collect()}
+    found = [got[2 * k + 1] == 2 * k for k in range(400)]
+    assert not any(f and not x for f, x in zip(found, linked, strict=True))
+    assert sum(found) >= 0.9 * sum(linked)
+
+
 def test_blocks_of_a_bucket_meet_each_other(spark):
     """All pairs of different classes, whatever the blocks; a class with a block of its own is not met with itself."""
     rng = np.random.default_rng(3)
