@@ -73,7 +73,9 @@ class Postings:
                 at = self.rows[term][a:b] - start
                 scores[at] += query[term] * self.values[term][a:b]
                 met[at] = True
-            alive = np.flatnonzero(met & (self.ids[start:stop] != own)) if full else np.flatnonzero(self.ids[start:stop] != own)
+            others = self.ids[start:stop] != own
+            # A row met in no essential list scores at most below[split], which exceeds a negative k-th score.
+            alive = np.flatnonzero(met & others if full and limit >= below[split] else others)
             for left in range(split - 1, -1, -1):
                 alive = alive[scores[alive] + below[left + 1] > limit]
                 if not alive.size:

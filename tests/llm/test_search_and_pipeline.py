@@ -50,6 +50,13 @@ def test_sparse_vectors_ties_and_chunks(spark, monkeypatch):
     assert got == expected
 
 
+def test_zero_rows_beat_a_negative_score(monkeypatch):
+    monkeypatch.setattr(maxscore, "CHUNK", 4)
+    values = np.concatenate((np.arange(1, 25).reshape(8, 3), np.zeros((4, 3)))).astype(np.int64)
+    postings = maxscore.Postings(np.arange(12), values)
+    assert postings.top(np.array([-1, -2, -1]), 99, 3) == [(0, 8), (0, 9), (0, 10)]
+
+
 def test_odd_vectors(spark):
     rows = [
         (0, [0.5, 0.25]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, None), (3, []), (4, [0.5, None]), (5, [float("nan"), 1.0]),
