@@ -1,6 +1,7 @@
 """Benchmark decontamination by templates.
 
 Texts become templates: numbers, units and names are replaced by typed placeholders, other words are lower-cased.
+A capitalised word that starts a sentence may be a name or not, so windows that hold one are taken both ways.
 Windows of template words are hash-joined between documents and benchmark items. Windows that meet on one diagonal
 must fill their placeholders consistently, each value of the item by one value of the document and the other way
 round; so a question with other numbers or names is found, and a chance meeting of templates is not. A document is
@@ -16,6 +17,7 @@ tables give no rows; columns other than `doc_id`, `item_id` and `text` are not l
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -77,10 +79,12 @@ class Canon:
         self.hash[at] = self.holders[kind] if kind in (NUMBER, UNIT) else xxhash.xxh64_intdigest(lower)
         return at
 
-    def template(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per template word its hash, whether it is a placeholder, and where it starts in `words`.
+    def templates(self, words: list[str]) -> list[tuple[np.ndarray, ...]]:
+        """Per template word its hash, the kind of its placeholder or 0, where it starts in `words`, its place and
+        whether it is a name only here.
 
-        A capitalised word is a name unless a sentence starts with it; names in a row are one.
+        A capitalised word is a name; one that starts a sentence is plain in the first template and a name in the
+        second. Names in a row are one. Places count the words of the first template in both.
         """
         if len(self.codes) > self.limit:
             self.clear()
@@ -88,13 +92,17 @@ class Canon:
         codes = np.array([c if (c := known(w)) is not None else self.code(w) for w in words], np.int64)
         at = np.flatnonzero(self.kind[codes] != NOTHING)
         codes = codes[at]
-        kind, ends = self.kind[codes], self.ends[codes]
-        name = (kind == CAPITAL) & np.concatenate(([False], ~ends[:-1]))[: len(codes)]
-        kept = np.ones(len(codes), bool)
-        kept[1:] = ~(name[1:] & name[:-1])
-        hashes = np.where(name, self.holders[3], self.hash[codes])
-        holder = name | (kind == NUMBER) | (kind == UNIT)
-        return hashes[kept], holder[kept], at[kept]
+        kind = self.kind[codes]
+        goes_on = np.concatenate(([False], ~self.ends[codes][:-1]))[: len(codes)]
+        out, place = [], None
+        for name in (first := (kind == CAPITAL) & goes_on, kind == CAPITAL):
+            kept = np.ones(len(codes), bool)
+            kept[1:] = ~(name[1:] & name[:-1] & goes_on[1:])
+            place = np.cumsum(kept) - 1 if place is None else place
+            hashes = np.where(name, self.holders[3], self.hash[codes])
+            holder = np.where(name, CAPITAL, np.where((kind == NUMBER) | (kind == UNIT), kind, 0))
+            out.append((hashes[kept], holder[kept], at[kept], place[kept], (name & ~first)[kept]))
+        return out if out[1][4].any() else out[:1]
 
 
 def window_hashes(hashes: np.ndarray, holder: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +110,7 @@ def window_hashes(hashes: np.ndarray, holder: np.ndarray, size: int) -> tuple[np
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    plain = np.concatenate(([0], np.cumsum(~holder)))
+    plain = np.concatenate(([0], np.cumsum(holder == 0)))
     start = np.flatnonzero(plain[size:] - plain[:-size] >= LITERALS)
     out = np.full(n, size, np.uint64)
     with np.errstate(over="ignore"):
@@ -112,44 +120,64 @@ def window_hashes(hashes: np.ndarray, holder: np.ndarray, size: int) -> tuple[np
     return start, out[start].view(np.int64)
 
 
+def windows_both_ways(templates: list[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per template its index, and the starts and hashes of its windows; of the second those with a name only there."""
+    for number, (hashes, holder, _, _, only) in enumerate(templates):
+        start, found = window_hashes(hashes, holder, size)
+        if number:
+            seen = np.concatenate(([0], np.cumsum(only)))
+            own = seen[start + size] > seen[start]
+            start, found = start[own], found[own]
+        yield number, start, found
+
+
 def slots(words: list[str], at: np.ndarray, holder: np.ndarray, start: int, size: int) -> list[str]:
     """The written values of a window's placeholders, in order."""
     ends = np.append(at, len(words))
     return [" ".join(EDGES.sub("", w) for w in words[at[i] : ends[i + 1]]).strip() for i in range(start, start + size) if holder[i]]
 
 
-WINDOWS = "array<struct<hash:bigint,at:int,slots:array<string>>>"
+def window(words: list[str], at: np.ndarray, holder: np.ndarray, place: np.ndarray, start: int, found: int, size: int) -> dict:
+    return {"hash": found, "at": int(place[start]), "size": size, "slots": slots(words, at, holder, start, size)}
+
+
+WINDOWS = "array<struct<hash:bigint,at:int,size:int,slots:array<string>>>"
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, n_windows and the windows of one item of each template."""
+    """item_id, n_windows (places with a window) and the windows of one item of each template."""
 
     def make():
         canon = Canon()
 
         def step(rows: dict) -> dict:
-            out = {"item_id": rows["item_id"], "template": [], "size": [], "windows": []}
+            out = {"item_id": rows["item_id"], "template": [], "windows": []}
             for text in rows["text"]:
                 words = text.split()
-                hashes, holder, at = canon.template(words)
-                size = min(WINDOW, len(hashes))
-                start, found = window_hashes(hashes, holder, max(1, size))
+                templates = canon.templates(words)
+                hashes, holder, at, _, _ = templates[0]
                 values = slots(words, at, holder, 0, len(hashes))
                 first = {v: i for i, v in reversed(list(enumerate(values)))}
                 pattern = hashes.tobytes() + repr([first[v] for v in values]).encode()
                 out["template"].append(xxhash.xxh128_hexdigest(pattern))
-                out["size"].append(size)
-                out["windows"].append([{"hash": h, "at": s, "slots": slots(words, at, holder, s, size)} for s, h in zip(start.tolist(), found.tolist(), strict=True)])
+                windows = []
+                for size in sorted({max(1, min(WINDOW, len(t[0]))) for t in templates}):
+                    for number, start, found in windows_both_ways(templates, size):
+                        _, holder, at, place, _ = templates[number]
+                        if size == max(1, min(WINDOW, len(at))):
+                            windows += [window(words, at, holder, place, s, h, size) for s, h in zip(start.tolist(), found.tolist(), strict=True)]
+                out["windows"].append(windows)
             return out
 
         return step
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"item_id {kind}, template string, size int, windows {WINDOWS}"
+    schema = f"item_id {kind}, template string, windows {WINDOWS}"
     items = per_batch(benchmark.select("item_id", text_of(benchmark).alias("text")), make, schema)
-    one = items.groupBy("template").agg(F.min(F.struct("item_id", "size", "windows")).alias("first")).select("first.*")
-    flat = one.select("item_id", "size", F.size("windows").alias("n_windows"), F.explode("windows").alias("w"))
-    return flat.select("item_id", "size", "n_windows", "w.hash", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"))
+    one = items.groupBy("template").agg(F.min(F.struct("item_id", "windows")).alias("first")).select("first.*")
+    places = F.size(F.array_distinct(F.transform("windows", lambda w: w["at"])))
+    flat = one.select("item_id", places.alias("n_windows"), F.explode("windows").alias("w"))
+    return flat.select("item_id", "n_windows", "w.hash", "w.size", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"))
 
 
 def bloom(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -176,11 +204,12 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
 
         def windows_of(text: str) -> list[dict]:
             words, out = text.split(), []
-            hashes, holder, at = canon.template(words)
+            templates = canon.templates(words)
             for size in sizes:
-                start, found = window_hashes(hashes, holder, size)
-                for i in passing(found).tolist():
-                    out.append({"hash": int(found[i]), "at": int(start[i]), "slots": slots(words, at, holder, int(start[i]), size)})
+                for number, start, found in windows_both_ways(templates, size):
+                    _, holder, at, place, _ = templates[number]
+                    for i in passing(found).tolist():
+                        out.append(window(words, at, holder, place, int(start[i]), int(found[i]), size))
             return out
 
         def step(rows: dict) -> dict:
@@ -200,7 +229,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> Data
     items = materialize(item_windows(benchmark), "items")
     sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW values
     found = document_windows(docs, bloom(items), sizes)
-    met = found.join(items, "hash")
+    met = found.join(items.drop("size"), "hash")
     filled = F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))
     lines = met.groupBy("doc_id", "node", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.array_distinct(filled).alias("pairs"), F.collect_set("item_at").alias("places")

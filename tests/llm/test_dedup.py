@@ -285,6 +285,16 @@ def test_slots_must_be_consistent(spark, text, caught):
     assert [(r.doc_id, r.item_id) for r in found] == ([(40, 7)] if caught else [])
 
 
+NAMED = "Tom has 5 red apples in his bag. Anna has 3 green apples in her bag. Ben buys 4 yellow apples at the shop."
+
+
+def test_names_that_start_sentences(spark):
+    text = "Some words. " + NAMED.replace("Tom", "Eva").replace("Anna", "John").replace("Ben", "Mia Lee").replace("4", "7")
+    items = spark.createDataFrame([(1, NAMED)], "item_id long, text string")
+    docs = frame(spark, [text, "Then Eva" + NAMED[3:], NAMED.replace("apples", "pears")])
+    assert sorted(r.doc_id for r in decontam.matches(docs, items, share=0.5).collect()) == [0, 1]
+
+
 def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "a text of some words"), (2, None), (None, "")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontam.matches(odd_docs, items).collect()] == [(None, 1)]
