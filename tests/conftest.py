@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-FOLDER = "/root/testdata/sf0.001"
+from compare import FOLDER  # noqa: E402
 
 
 @pytest.fixture(scope="session")

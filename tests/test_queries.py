@@ -4,8 +4,7 @@ import pytest
 
 from cartflow.plans.oracle import oracle
 from cartflow.plans.queries import BUILDERS
-from compare import connect, differences
-from conftest import FOLDER
+from compare import FOLDER, connect, differences
 
 ORACLE = oracle()
 
