@@ -5,8 +5,8 @@ keeps few of them, and the kept rules become one Spark column expression: scorin
 
 Defined cases: a null text counts as empty and is scored like one; texts of any length are measured whole; every row
 gives a row, repeated or not; a null id stays null, is never learned from and has a null `held_out`; null labels are
-skipped; without labels, or with labels of one kind only, the score is the (smoothed) share of label 1; an empty
-table gives no rows; columns other than `doc_id` and `text` are not looked at.
+skipped; without labels, with labels of one kind only, or where no statistic splits them, the score is the (smoothed)
+share of label 1; an empty table gives no rows; columns other than `doc_id` and `text` are not looked at.
 """
 
 from __future__ import annotations
@@ -125,6 +125,8 @@ def fit_rules(
                 variance = np.mean(labels * 0 + 0.25) if not inside.size else max(0.02, float(np.mean(0.25 - rest[inside] ** 2 / 4)))
                 margin += holds * shrinkage * float(rest[inside].mean() if inside.size else 0.0) / variance
     paths = list(rules)
+    if not paths:
+        return RuleModel(base)
     return lasso(paths, np.column_stack([rules[p] for p in paths]).astype(float), labels, base, penalty)
 
 
@@ -153,20 +155,33 @@ def lasso(paths: list[Rule], holds: np.ndarray, labels: np.ndarray, base: float,
 
 
 def labelled(docs: DataFrame, labels: DataFrame, name: str, folds: int, rows: int) -> DataFrame:
-    """doc_id, text and `label` (0/1) of a bounded sample of the rows that may be learned from.
+    """doc_id, text and `label` (0/1) of a bounded sample of the rows that may be learned from: one per id.
 
-    Ids are sampled first, from the narrow label table; about `rows` ids at most are sent to all executors.
+    Ids are sampled first, from the narrow label table, so that about `rows` ids are sent to all executors. Where labels
+    or documents repeat an id, the largest label and the first text in order count.
     """
     usable = labels.select(labels["doc_id"].alias("doc_id"), labels[name].cast("double").alias("label"))
     usable = usable.where(F.col("label").isNotNull() & (remainder(F.col("doc_id"), folds) != 0))
+    usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = usable.where(in_sample(F.col("doc_id"), usable.count(), rows))
-    return docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+
+
+def with_statistics(texts: DataFrame, *kept: str) -> DataFrame:
+    """The columns `kept` and the statistics of `text`.
+
+    They leave a generator, so that whatever is computed or filtered above it reads finished numbers. Were they plain
+    columns, the optimizer would put their expressions into each condition of each rule of a filter on the score.
+    """
+    values = F.struct(*[c.alias(n) for n, c in statistics(F.col("text")).items()])
+    return texts.select(*kept, F.inline(F.array(values)))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, name: str = "quality", rows: int = SAMPLE_ROWS) -> RuleModel:
     """Measure the sample in Spark; only its numbers reach the driver."""
     sample = labelled(docs, labels, name, FOLDS, rows)
-    measured = sample.select("label", *[c.alias(n) for n, c in statistics(F.col("text")).items()]).toPandas()
+    measured = with_statistics(sample, "label").toPandas()
     # The order of rows from the cluster varies; sorted, the fit is the same each time.
     measured = measured.sort_values(list(measured.columns), kind="stable")
     target = measured.pop("label").to_numpy(float)
@@ -176,15 +191,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, name: str = "quality", rows:
 def score_quality(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document, in one projection."""
     texts = docs.select(docs["doc_id"], text_of(docs).alias("text"))
-    measured = texts.select("doc_id", *[c.alias(n) for n, c in statistics(F.col("text")).items()])
-    scored = measured.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), model.column().alias("score"))
+    scored = with_statistics(texts, "doc_id").select("doc_id", (remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the model accepts, with all their columns."""
     names = docs.columns
-    texts = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row"), text_of(docs).alias("__text"))
-    measured = texts.select("__row", F.struct(*[c.alias(n) for n, c in statistics(F.col("__text")).items()]).alias("__s"))
-    flat = measured.select("__row", *[F.col(f"__s.{n}").alias(n) for n in statistics(F.lit(""))])
-    return flat.where(model.column() >= threshold).select("__row.*")
+    texts = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("__row"), text_of(docs).alias("text"))
+    return with_statistics(texts, "__row").where(model.column() >= threshold).select("__row.*")

@@ -1,5 +1,8 @@
 """Learned operators: held-out accuracy, folds, and defined results for odd rows."""
 
+import math
+import re
+import unicodedata
 from zlib import crc32
 
 import numpy as np
@@ -85,6 +88,46 @@ def test_the_filter_keeps_all_columns(odd_docs, labels):
     assert quality_rules.keep_good(odd_docs, quality_rules.RuleModel(-10.0)).count() == 0
 
 
+def test_filters_do_not_measure_again(odd_docs):
+    """The statistics of a text stand once in the plan, whatever the number of rules; their split of words twice."""
+    rules = [((quality_rules.Condition("distinct_words", True, i / 50),), 0.1) for i in range(40)]
+    model = quality_rules.RuleModel(0.0, rules)
+    for df in (quality_rules.keep_good(odd_docs, model), quality_rules.score_quality(odd_docs, model).where("score > 0.5")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_distinct") == 2
+        df.collect()
+
+
+def test_the_column_equals_the_rules(spark, sample, truth):
+    """Scores of the Spark expression against a plain loop over rules and texts."""
+    docs = spark.read.parquet(f"{sample}/documents.parquet")
+    model = quality_rules.fit_quality(docs, spark.read.parquet(f"{sample}/labels.parquet"))
+    assert model.rules
+
+    def measure(text):
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.strip(" "))]
+        lines, chars = text.split("\n"), max(1, len(text))
+        kinds = [unicodedata.category(c) for c in text]
+        letters = [k[0] == "L" or k[0] == "N" for k in kinds]
+        return {
+            "words": math.log1p(len(words)),
+            "word_length": chars / len(words),
+            "distinct_words": len(set(words)) / len(words),
+            "distinct_lines": len(set(lines)) / len(lines),
+            "upper": kinds.count("Lu") / chars,
+            "digits": sum(k[0] == "N" for k in kinds) / chars,
+            "symbols": sum(not a and c not in " \t\n\x0b\f\r.,'’" for a, c in zip(letters, text, strict=True)) / chars,
+        }
+
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for row in quality_rules.score_quality(docs, model).collect():
+        values, total = measure(texts[row.doc_id]), model.bias
+        for rule, weight in model.rules:
+            if all(values[c.name] > c.cut if c.above else values[c.name] <= c.cut for c in rule):
+                total += weight
+        assert row.score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
 def test_rules_find_a_conjunction():
     random = np.random.default_rng(0)
     values = {"a": random.random(3000), "b": random.random(3000), "c": random.random(3000)}
