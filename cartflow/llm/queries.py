@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartflow.llm import bpe, decontam, language, maxscore, near_dedup, quality_rules, substring_dedup, token_count, toxicity, wavelet
+from cartflow.llm import (
+    bpe,
+    clustering,
+    decontam,
+    language,
+    maxscore,
+    near_dedup,
+    quality_rules,
+    substring_dedup,
+    token_count,
+    toxicity,
+    wavelet,
+)
 from cartflow.llm.common import table
 from cartflow.session import scratch_path
 
@@ -59,6 +71,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.score_quality(docs, model)
 
 
+def op11_ns_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.clusters(clustering.quantised(table(spark, folder, "embeddings")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,12 +88,48 @@ QUERIES = {
         op8_maxscore,
         op9_byte_language,
         op10_quality_rules,
+        op11_ns_bounds,
     )
 }
 
+
+def clusters_sql(rounds: int = clustering.ROUNDS) -> str:
+    """Plain rounds over all pairs of a vector and a centroid; a distance and its centroid are ordered as one number."""
+    steps = [
+        """kept AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS (
+          SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS BIGINT) AS cluster, v
+          FROM (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS place, v FROM kept ORDER BY place LIMIT 16))"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS (
+          SELECT vec_id, v, min(CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)
+            AS BIGINT) * 16 + cluster) AS best
+          FROM kept, (SELECT cluster, v AS c FROM c{n}) GROUP BY vec_id, v)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""m{n} AS (
+          SELECT cluster, list(mean ORDER BY pos) AS v
+          FROM (SELECT best % 16 AS cluster, pos, floor(sum(v[pos]) / count(*)) AS mean
+            FROM a{n}, (SELECT unnest(range(1, 65)) AS pos) GROUP BY 1, 2) GROUP BY cluster),
+        c{n + 1} AS (SELECT c{n}.cluster, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (cluster))"""
+            )
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, CAST(best % 16 AS INTEGER) AS cluster, best // 16 AS distance,
+          CAST(sum(best // 16) OVER (PARTITION BY best % 16) AS BIGINT) AS cluster_inertia,
+          CAST(sum(best // 16) OVER () AS BIGINT) AS inertia,
+          sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} c ON best % 16 = c.cluster"""
+
+
 # SQL cannot express tokenizers, learned models or edit distances over word sequences; those queries are tested
 # against brute force, other libraries or held-out labels in tests/llm.
 ORACLE_SQL = {
+    "op11_ns_bounds": clusters_sql(),
     "op8_maxscore": """
         WITH usable AS (
           SELECT CAST(vec_id AS BIGINT) AS vec_id,
