@@ -13,6 +13,7 @@ from cartflow.llm import (
     maxscore,
     near_dedup,
     quality_rules,
+    secrets,
     substring_dedup,
     token_count,
     toxicity,
@@ -75,6 +76,10 @@ def op11_ns_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.clusters(clustering.quantised(table(spark, folder, "embeddings")))
 
 
+def op12_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES = {
         op9_byte_language,
         op10_quality_rules,
         op11_ns_bounds,
+        op12_trigram_secrets,
     )
 }
 
