@@ -14,6 +14,7 @@ from cartflow.llm import (
     near_dedup,
     quality_rules,
     secrets,
+    spelling,
     substring_dedup,
     token_count,
     toxicity,
@@ -80,6 +81,10 @@ def op12_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents"))
 
 
+def op13_trie_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES = {
         op10_quality_rules,
         op11_ns_bounds,
         op12_trigram_secrets,
+        op13_trie_variants,
     )
 }
 
