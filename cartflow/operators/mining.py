@@ -1,6 +1,7 @@
 """Frequent itemsets and association rules.
 
-MLlib mines the itemsets; they are stored once, and everything after that is joins over the stored table.
+MLlib mines the itemsets, or two passes over partitions do where the support is low; they are stored once, and everything
+after that is joins over the stored table.
 A grid of support and confidence levels needs one fit at the lowest support: the itemsets and rules of the
 higher levels are subsets with the same metrics.
 """
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from cartflow.functions.baskets import config_id, overlaps, rule_id, rule_label
 from cartflow.operators.frames import beside, stack
+from cartflow.operators.partition_mining import partition_itemsets
 from cartflow.operators.quality import invalid_baskets
 from cartflow.session import materialize
 
@@ -104,6 +107,18 @@ def frequent_itemsets(
     return stored_within(found.select(F.sort_array("items").alias("items"), "freq"), cap, "itemsets")
 
 
+def two_pass_itemsets(
+    training: DataFrame, min_support: float, cap: int | None = None, partitions: int | None = None
+) -> DataFrame:
+    """The same as `frequent_itemsets`, mined partition by partition: memory does not grow as the support falls."""
+    baskets = training.count()
+    found = partition_itemsets(training, min_count(min_support, baskets), baskets, partitions)
+    return stored_within(found, cap, "itemsets")
+
+
+Miner = Callable[[DataFrame, float, int | None, int | None], DataFrame]
+
+
 def growth_report(
     itemsets: DataFrame, rules: DataFrame, max_itemsets: int = MAX_ITEMSETS, max_rules: int = MAX_RULES
 ) -> DataFrame:
@@ -271,6 +286,7 @@ def mine_grid(
     max_itemsets: int | None = None,
     max_rules: int | None = None,
     partitions: int | None = None,
+    miner: Miner = frequent_itemsets,
 ) -> MinedGrid:
     """One fit at the lowest support, which serves all levels. Any failure ends the run.
 
@@ -278,7 +294,7 @@ def mine_grid(
     """
     baskets = training.count()
     started = time.perf_counter()
-    itemsets = frequent_itemsets(training, min(grid.supports), max_itemsets, partitions)
+    itemsets = miner(training, min(grid.supports), max_itemsets, partitions)
     rules = stored_within(association_rules(itemsets, baskets, min(grid.confidences)), max_rules, "rules")
     return MinedGrid(training, baskets, grid, itemsets, rules, time.perf_counter() - started)
 

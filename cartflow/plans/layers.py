@@ -163,7 +163,7 @@ def _gold(spark: SparkSession, silver_root: str, staging: Staging, grid: Grid, p
     staging.store(files.product_catalog(t["products"]), "product_catalog")
 
     training = materialize(mining.training_baskets(baskets, orders, partitions=partitions), "training")
-    mined = mining.mine_grid(mining.checked_training(training), grid, partitions=partitions)
+    mined = mining.mine_grid(mining.checked_training(training), grid, partitions=partitions, miner=mining.two_pass_itemsets)
     truth = recommend.ground_truth(baskets, orders)
     if not quality.single_target_per_user(truth).first()["ok"]:
         raise ValueError("a user has more than one train order")

@@ -7,7 +7,8 @@ import re
 from cartflow.functions.baskets import config_id
 from cartflow.operators.mining import MAX_ITEMSETS, MAX_RULES
 from cartflow.operators.recommend import FALLBACK_NOTE, FROM_POPULARITY, FROM_RULE
-from cartflow.plans.retail import FINAL, GRID, PRODUCT_BASKETS
+from cartflow.plans.layers import GRID as LAYER_GRID
+from cartflow.plans.retail import FINAL, GRID, PRODUCT_BASKETS, PRODUCT_SHARE
 
 LOW, LOW_CONFIDENCE = min(GRID.supports), min(GRID.confidences)
 CELLS = ", ".join(
@@ -16,15 +17,12 @@ CELLS = ", ".join(
 
 DEPARTMENT = "(SELECT department FROM departments WHERE department_id = product_id) AS product_name"
 # The same for itemsets of single parts.
-PART_ITEMS = "p_items a", *[
-    f"p_items {right} ON {left}.order_id = {right}.order_id AND {left}.item < {right}.item" for left, right in ("ab", "bc", "cd")
-]
 
-
-def _part_sets(size: int) -> str:
-    items = ", ".join(f"{letter}.item" for letter in "abcd"[:size])
-    source = " JOIN ".join(PART_ITEMS[:size])
-    return f"SELECT [{items}] AS items, count(*) AS freq FROM {source} GROUP BY ALL HAVING count(*) >= {PRODUCT_BASKETS}"
+def _subsets(baskets: str) -> str:
+    """All non-empty subsets of every basket: itemsets of any size."""
+    return f"""
+        SELECT list_filter(items, lambda x, i: (m >> CAST(i - 1 AS INTEGER)) & 1 = 1) AS items
+        FROM (SELECT items, unnest(range(1, 1 << len(items))) AS m FROM {baskets})"""
 
 
 # Views in dependency order.
@@ -86,32 +84,9 @@ VIEWS = {
     "t": "SELECT order_id, unnest(items) AS item FROM training",
     "one": """
         SELECT item AS a, count(*) AS freq FROM t GROUP BY ALL HAVING count(*) >= (SELECT least FROM floor_count)""",
-    "two": """
-        SELECT a.item AS a, b.item AS b, count(*) AS freq FROM t a JOIN t b
-        ON a.order_id = b.order_id AND a.item < b.item
-        GROUP BY ALL HAVING count(*) >= (SELECT least FROM floor_count)""",
-    "three": """
-        SELECT a.item AS a, b.item AS b, c.item AS c, count(*) AS freq FROM t a
-        JOIN t b ON a.order_id = b.order_id AND a.item < b.item
-        JOIN t c ON a.order_id = c.order_id AND b.item < c.item
-        GROUP BY ALL HAVING count(*) >= (SELECT least FROM floor_count)""",
-    "four": """
-        SELECT a.item AS a, b.item AS b, c.item AS c, d.item AS d, count(*) AS freq FROM t a
-        JOIN t b ON a.order_id = b.order_id AND a.item < b.item
-        JOIN t c ON a.order_id = c.order_id AND b.item < c.item
-        JOIN t d ON a.order_id = d.order_id AND c.item < d.item
-        GROUP BY ALL HAVING count(*) >= (SELECT least FROM floor_count)""",
-    "five": """
-        SELECT a.item AS a, b.item AS b, c.item AS c, d.item AS d, e.item AS e, count(*) AS freq FROM t a
-        JOIN t b ON a.order_id = b.order_id AND a.item < b.item
-        JOIN t c ON a.order_id = c.order_id AND b.item < c.item
-        JOIN t d ON a.order_id = d.order_id AND c.item < d.item
-        JOIN t e ON a.order_id = e.order_id AND d.item < e.item
-        GROUP BY ALL HAVING count(*) >= (SELECT least FROM floor_count)""",
+    "subsets": _subsets("training"),
     "itemsets": """
-        SELECT [a] AS items, freq FROM one UNION ALL SELECT [a, b], freq FROM two
-        UNION ALL SELECT [a, b, c], freq FROM three UNION ALL SELECT [a, b, c, d], freq FROM four
-        UNION ALL SELECT [a, b, c, d, e], freq FROM five""",
+        SELECT items, count(*) AS freq FROM subsets GROUP BY ALL HAVING count(*) >= (SELECT least FROM floor_count)""",
     "sides": """
         SELECT list_filter(items, lambda x: x <> item) AS antecedent, item, freq
         FROM (SELECT items, freq, unnest(items) AS item FROM itemsets WHERE len(items) > 1)""",
@@ -218,11 +193,14 @@ VIEWS = {
               FROM dept_baskets b CROSS JOIN popular p
               WHERE b.order_id NOT IN (SELECT order_id FROM served) AND NOT list_contains(b.items, p.product_id))
         WHERE rank <= 5""",
-    "p_items": """
-        SELECT b.order_id, unnest(b.items) AS item FROM product_baskets b JOIN shop_orders o USING (order_id)
+    "p_training": """
+        SELECT b.items FROM product_baskets b JOIN shop_orders o USING (order_id)
         WHERE o.eval_set = 'prior' AND len(b.items) >= 2""",
-    "p_n": "SELECT count(DISTINCT order_id) AS n FROM p_items",
-    "p_itemsets": " UNION ALL ".join(_part_sets(size) for size in range(1, 5)),
+    "p_n": "SELECT count(*) AS n FROM p_training",
+    "p_subsets": _subsets("p_training"),
+    "p_itemsets": f"""
+        SELECT items, count(*) AS freq FROM p_subsets GROUP BY ALL
+        HAVING count(*) >= (SELECT greatest({PRODUCT_BASKETS}, -(-n // {PRODUCT_SHARE})) FROM p_n)""",
     "p_rules": """
         SELECT s.antecedent, [s.item] AS consequent, s.freq / a.freq AS confidence,
           (s.freq / a.freq) / (c.freq / p_n.n) AS lift, s.freq / p_n.n AS support
@@ -652,6 +630,9 @@ BODIES = {
           prior_baskets - training_baskets AS excluded_baskets
         FROM dept_baskets JOIN shop_orders USING (order_id)""",
     "frequent_itemsets": f"SELECT {_text('items')}, freq FROM itemsets",
+    "two_pass_itemsets": f"""
+        SELECT {_text('items')}, count(*) AS freq FROM subsets GROUP BY ALL
+        HAVING count(*) >= (SELECT ceil(CAST({min(LAYER_GRID.supports)} AS DOUBLE) * n) FROM n)""",
     "growth_caps": f"""
         SELECT 'itemsets' AS result, count(*) AS n, CAST({MAX_ITEMSETS} AS BIGINT) AS cap,
           count(*) <= {MAX_ITEMSETS} AS within FROM itemsets UNION ALL

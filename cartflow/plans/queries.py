@@ -14,6 +14,7 @@ from cartflow.functions import checks
 from cartflow.functions.baskets import config_id, rule_label
 from cartflow.operators import kpi, mining, quality, recommend, silver
 from cartflow.operators.frames import stack
+from cartflow.plans.layers import GRID as LAYER_GRID
 from cartflow.plans.retail import FINAL, GRID, Retail
 from cartflow.session import materialize, scratch_path
 from cartflow.sources import files, sampling
@@ -540,6 +541,12 @@ def frequent_itemsets(r: Retail) -> DataFrame:
     return flat(mining.frequent_itemsets(r.stored_training, min(GRID.supports)))
 
 
+@query
+def two_pass_itemsets(r: Retail) -> DataFrame:
+    """At the lowest support of the layer builds."""
+    return flat(mining.two_pass_itemsets(r.stored_training, min(LAYER_GRID.supports)))
+
+
 @query
 def growth_caps(r: Retail) -> DataFrame:
     return mining.growth_report(r.mined.itemsets, r.mined.rules)

@@ -17,8 +17,8 @@ from cartflow.sources.specs import table_specs
 GRID = Grid(supports=(0.002, 0.005, 0.01), confidences=(0.10, 0.15, 0.18))
 # The cell whose rules are served; it leaves some baskets without a rule.
 FINAL = (0.005, 0.18)
-# Single parts: an itemset counts from so many baskets on.
-PRODUCT_BASKETS = 3
+# Single parts: an itemset counts from one in so many baskets on, and from so many baskets at least.
+PRODUCT_SHARE, PRODUCT_BASKETS = 20_000, 3
 # Fixed value: the longest gap the source tables record.
 MAX_GAP_DAYS = 30
 
@@ -248,10 +248,12 @@ class Retail:
 
     @cached_property
     def product_mined(self) -> MinedGrid:
-        """Stored: itemsets and rules of single parts; the support stands for PRODUCT_BASKETS baskets."""
+        """Stored: itemsets and rules of single parts, mined in two passes."""
         training = materialize(mining.training_baskets(self.stored_product_baskets, self.stored_orders), "training")
-        support = (PRODUCT_BASKETS - 0.5) / max(training.count(), PRODUCT_BASKETS)
-        return mining.mine_grid(training, Grid((support,), (0.0,)))
+        baskets = training.count()
+        least = max(PRODUCT_BASKETS, -(-baskets // PRODUCT_SHARE))
+        support = (least - 0.5) / max(baskets, least)
+        return mining.mine_grid(training, Grid((support,), (0.0,)), miner=mining.two_pass_itemsets)
 
     @cached_property
     def product_names(self) -> DataFrame:

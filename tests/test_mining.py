@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
-from cartflow.operators import mining
+from cartflow.operators import mining, partition_mining
 from cartflow.operators.mining import Grid, GrowthLimitExceeded
 
 BASKETS = 120
@@ -41,6 +41,51 @@ def test_itemsets_match_enumeration(training, plain_baskets, support):
     assert found == brute_force(plain_baskets, support)
 
 
+@pytest.mark.parametrize("parts, chunk", [(None, 200_000), (4, 200_000), (5, 7)])
+@pytest.mark.parametrize("support", [0.02, 0.1, 0.3])
+def test_two_passes_match_enumeration(training, plain_baskets, support, parts, chunk):
+    least = math.ceil(support * BASKETS)
+    found = partition_mining.partition_itemsets(training, least, BASKETS, parts, chunk).collect()
+    assert {tuple(r["items"]): r.freq for r in found} == brute_force(plain_baskets, support)
+    assert len(found) == len(set(map(str, found)))
+
+
+@pytest.mark.parametrize("name", ["departments", "parts"])
+def test_two_passes_match_the_library(retail, name, monkeypatch):
+    """Dense baskets of departments and sparse ones of parts, in several partitions."""
+    monkeypatch.setattr(partition_mining, "PART_BASKETS", 200)
+    monkeypatch.setattr(partition_mining, "LEAST_COUNT", 1)
+    baskets = retail.stored_baskets if name == "departments" else retail.stored_product_baskets
+    training = mining.training_baskets(baskets, retail.stored_orders)
+    support = 0.01 if name == "departments" else 0.003
+    assert partition_mining.parts_for(training.count(), mining.min_count(support, training.count())) > 2
+    found = {(tuple(r["items"]), r.freq) for r in mining.two_pass_itemsets(training, support).collect()}
+    assert found == {(tuple(r["items"]), r.freq) for r in mining.frequent_itemsets(training, support).collect()}
+    assert len(found) > 100
+
+
+def test_low_support_takes_larger_partitions():
+    assert partition_mining.parts_for(3_346_083, 1_674) == 66
+    assert partition_mining.parts_for(3_346_083, 34) == 1
+    assert partition_mining.parts_for(100, 2) == 1
+
+
+def test_two_passes_over_a_wide_alphabet(spark):
+    """Support 0.0005 of 60,000 baskets over 3,000 skewed items; pairs against plain counting."""
+    rng = random.Random(8)
+    weights = [1 / (i + 5) for i in range(3_000)]
+    baskets = [sorted(set(rng.choices(range(3_000), weights, k=rng.randint(2, 14)))) for _ in range(60_000)]
+    rows = [(i, b) for i, b in enumerate(baskets)]
+    training = spark.createDataFrame(rows, "order_id int, items array<int>").repartition(4)
+    counts = {}
+    for basket in baskets:
+        for pair in itertools.combinations(basket, 2):
+            counts[pair] = counts.get(pair, 0) + 1
+    found = {tuple(r["items"]): r.freq for r in partition_mining.partition_itemsets(training, 30, 60_000, 3).collect()}
+    assert {s: n for s, n in found.items() if len(s) == 2} == {p: n for p, n in counts.items() if n >= 30}
+    assert max(map(len, found)) > 2
+
+
 def test_rules_match_the_library(training):
     model = FPGrowth(itemsCol="items", minSupport=0.05, minConfidence=0.3).fit(training)
     want = {
@@ -84,6 +129,8 @@ def test_a_limit_stops_the_run(training, plain_baskets):
         mining.mine_grid(training, Grid((0.02, 0.1), (0.2,)), max_itemsets=level)
     with pytest.raises(GrowthLimitExceeded):
         mining.mine_grid(training, Grid((0.02,), (0.2,)), max_rules=3)
+    with pytest.raises(GrowthLimitExceeded):
+        mining.two_pass_itemsets(training, 0.02, cap=10)
     mined = mining.mine_grid(training, Grid((0.1,), (0.2,)), max_itemsets=level)
     assert mined.itemsets.count() == level
     with pytest.raises(ValueError):
