@@ -24,7 +24,7 @@ from functools import reduce
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartflow.llm.common import materialize, per_batch, pieces, ship_package
@@ -38,6 +38,7 @@ RUN = re.compile("[a-zÀ-ÿ]+")
 # A task hands on its counts when they hold so many words or characters.
 HELD_WORDS, HELD_CHARACTERS = 400_000, 32 << 20
 PRIME, BASE = (1 << 61) - 1, 1_000_003
+END = "."  # stands for the end of a word, which consists of letters
 
 
 def altered(doc: str, text: str) -> Iterator[tuple[str, int]]:
@@ -128,9 +129,10 @@ def forks(words: DataFrame) -> DataFrame:
 
 
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored edges (node, label, child, target) and the first frontier (id, node, rest, edits).
+    """The stored edges (node, label, child, target, onward) and the first frontier (id, node, rest, edits).
 
-    An edge leads to the next node, or with the last characters of a word to that word's id.
+    An edge leads to the next node, or with the last characters of a word to that word's id; `onward` holds the first
+    characters of the child's own edges, no more than there are letters.
     """
 
     def make():
@@ -152,27 +154,41 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = words.select("id", "word").join(forks(words), "id").select("id", "word", "side", "depths")
     both = materialize(per_batch(cut, make, f"id bigint, edges array<{edge}>, states array<{state}>"), "paths")
     edges = materialize(both.select(F.inline("edges")).distinct(), "edges")
+    onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(initial("label")), "").alias("onward"))
+    edges = materialize(edges.join(onward, "child", "left"), "edges")
     return edges, both.select("id", F.inline("states")).withColumn("edits", F.lit(0))
 
 
+def initial(text: str | Column) -> Column:
+    """The first character, or END."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text == "", F.lit(END)).otherwise(F.substr(text, F.lit(1), F.lit(1)))
+
+
 def advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The next level: id, node, rest, edits, and `target` where a state has become a neighbour."""
     label, rest, child = F.col("label"), F.col("rest"), F.col("child")
     inner, fresh = child.isNotNull(), F.col("edits") == 0
     label_tail, rest_tail = F.substr(label, F.lit(2)), F.substr(rest, F.lit(2))
-    other = fresh & (label != "") & (F.substr(label, F.lit(1), F.lit(1)) != F.substr(rest, F.lit(1), F.lit(1)))
+    differs = fresh & (label != "") & (initial(label) != initial(rest))
 
     def step(holds, read, matched, edits):
-        """The state after `read`, what is left of the word, has met `matched`, what is left of the label."""
-        on = F.struct(child.alias("node"), F.substr(read, F.length(matched) + 1).alias("rest"), edits, F.col("target"))
-        return F.when(holds & F.when(inner, F.startswith(read, matched)).otherwise(read == matched), on)
+        """The state after `read`, what is left of the word, has met `matched`, what is left of the label.
+
+        With one edit the child must have an edge for what comes next.
+        """
+        left = F.substr(read, F.length(matched) + 1)
+        on = F.struct(child.alias("node"), left.alias("rest"), edits.alias("edits"), F.col("target"))
+        goes_on = F.startswith(read, matched) & ((edits == 0) | F.contains(F.col("onward"), initial(left)))
+        return F.when(holds & F.when(inner, goes_on).otherwise(read == matched), on)
 
-    one = F.lit(1).alias("edits")
+    one = F.lit(1)
     moves = F.array(
         # The own path; it need not be followed to the word itself.
-        step(inner | ~fresh, rest, label, F.col("edits").alias("edits")),
-        step(other & (rest != ""), rest_tail, label_tail, one),
-        step(other, rest, label_tail, one),
+        step(inner | ~fresh, rest, label, F.col("edits")),
+        # The later of two characters replaces the earlier one; the other word finds the same pair the other way round.
+        step(differs & (rest != "") & (initial(label) > initial(rest)), rest_tail, label_tail, one),
+        step(differs, rest, label_tail, one),
     )
     return states.join(edges, "node").select("id", F.inline(F.array_compact(moves)))
 
