@@ -1,7 +1,8 @@
 """From CSV files to serving tables: bronze, silver and gold folders of Parquet tables.
 
-Every step checks its input, stages all its tables, checks what was staged, and only then publishes; a failed check
-leaves no published table. It refuses to overwrite, and reads the stored tables of the step before.
+Every step checks its input, stores all its tables, checks what was stored, and only then commits them in one step
+(`sources.commits`); a failed check or a lost driver leaves the layer as it was. Without `replace` it refuses a layer that
+has a commit. It reads the stored tables of the step before from one commit.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from cartflow.operators import kpi, mining, quality, recommend, silver
 from cartflow.operators.frames import stack
 from cartflow.operators.mining import Grid
 from cartflow.session import materialize, sized_shuffles
-from cartflow.sources import files
+from cartflow.sources import commits, files
 from cartflow.sources.specs import TableSpec, table_specs
 
 # The parameter grid and the time that counts as a full penalty for a slow fit.
@@ -39,51 +40,42 @@ def _require_clean(profiles: dict[str, DataFrame], specs: dict[str, TableSpec])
         raise ValueError("failed checks: " + ", ".join(failed["table"] + "." + failed["check"]))
 
 
-class Staging:
-    """The tables of one layer, staged and read back; `publish` moves them into place together."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        self.staged: dict[str, tuple[str, int]] = {}
-
-    def store(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-        self.staged[name] = files.stage_verified(df, f"{self.root}/{name}", rows)
-        return self.spark.read.parquet(self.staged[name][0])
-
-    def publish(self) -> None:
-        for name, (staging, rows) in self.staged.items():
-            files.publish_staged(self.spark, staging, f"{self.root}/{name}", rows)
-
-
 def build_bronze(
-    spark: SparkSession, raw: str, root: str, run_id: str, specs: dict[str, TableSpec] | None = None
+    spark: SparkSession, raw: str, root: str, run_id: str, specs: dict[str, TableSpec] | None = None, replace: bool = False
 ) -> DataFrame:
-    """Stage all source files with lineage, profile what was staged, and publish only when every table passes.
+    """Store all source files with lineage, profile what was stored, and commit only when every table passes.
 
     The text is parsed once; the profiles read the staged Parquet. Returns `(table, check, column, n)`.
     """
     specs = specs or table_specs()
-    staging, profiles = Staging(spark, root), {}
+    staging, profiles = commits.Writer(spark, root, replace), {}
     with sized_shuffles(spark, raw):
         for name, spec in specs.items():
             table = staging.store(files.with_lineage(files.read_source(spark, raw, spec), run_id), name)
             found = quality.profile_table(table.drop(*files.LINEAGE), spec)
             profiles[name] = materialize(found, f"profile_{name}")
         _require_clean(profiles, specs)
-        staging.publish()
+        staging.commit()
     return stack(list(profiles.values()))
 
 
 def build_silver(
-    spark: SparkSession, bronze: str, root: str, specs: dict[str, TableSpec] | None = None
+    spark: SparkSession, bronze: str, root: str, specs: dict[str, TableSpec] | None = None, replace: bool = False
 ) -> DataFrame:
     """The dimensional model. Broken references stop the build. Returns `(fk, n)`."""
     with sized_shuffles(spark, bronze):
-        return _silver(spark, bronze, Staging(spark, root), specs or table_specs())
+        return _silver(committed(spark, bronze), commits.Writer(spark, root, replace), specs or table_specs())
+
+
+def committed(spark: SparkSession, root: str) -> commits.Snapshot:
+    found = commits.snapshot(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"{root} has no commit")
+    return found
 
 
-def _silver(spark: SparkSession, bronze: str, staging: Staging, specs: dict[str, TableSpec]) -> DataFrame:
-    raw = {name: silver.normalize(files.read_table(spark, bronze, name), spec) for name, spec in specs.items()}
+def _silver(bronze: commits.Snapshot, staging: commits.Writer, specs: dict[str, TableSpec]) -> DataFrame:
+    raw = {name: silver.normalize(bronze.read(name), spec) for name, spec in specs.items()}
     references = materialize(silver.fk_report(raw), "fk_report")
     broken = files.bounded_collect(references.where(F.col("n") > 0))
     if len(broken):
@@ -102,7 +94,7 @@ def _silver(spark: SparkSession, bronze: str, staging: Staging, specs: dict[str,
     ).where(~F.col("ok"))
     if not lost.isEmpty() or not quality.invalid_baskets(baskets).isEmpty():
         raise ValueError("silver tables lost rows or hold invalid baskets")
-    staging.publish()
+    staging.commit()
     return references
 
 
@@ -129,14 +121,19 @@ def evaluate_grid(
 
 
 def build_gold(
-    spark: SparkSession, silver_root: str, root: str, grid: Grid = GRID, partitions: int | None = None
+    spark: SparkSession,
+    silver_root: str,
+    root: str,
+    grid: Grid = GRID,
+    partitions: int | None = None,
+    replace: bool = False,
 ) -> GoldReport:
     """Key figures, the mined rules of the best grid cell, and what serving needs.
 
     The train split both selects the cell and measures it: an internal validation, not an independent test.
     """
     with sized_shuffles(spark, silver_root):
-        return _gold(spark, silver_root, Staging(spark, root), grid, partitions)
+        return _gold(committed(spark, silver_root), commits.Writer(spark, root, replace), grid, partitions)
 
 
 def _reconciled(row: DataFrame, orders: DataFrame, baskets: DataFrame, items: DataFrame) -> None:
@@ -155,8 +152,8 @@ def _reconciled(row: DataFrame, orders: DataFrame, baskets: DataFrame, items: Da
         raise ValueError("key figures that do not add up: " + ", ".join(wrong["check"]))
 
 
-def _gold(spark: SparkSession, silver_root: str, staging: Staging, grid: Grid, partitions: int | None) -> GoldReport:
-    t = {name: files.read_table(spark, silver_root, name) for name in SILVER_TABLES}
+def _gold(source: commits.Snapshot, staging: commits.Writer, grid: Grid, partitions: int | None) -> GoldReport:
+    t = {name: source.read(name) for name in SILVER_TABLES}
     orders, baskets = t["orders"], t["baskets"]
     figures = staging.store(kpi.kpi_summary(orders, t["order_items"], baskets, t["products"]), "kpi_summary")
     _reconciled(figures, orders, baskets, t["order_items"])
@@ -187,5 +184,4 @@ def _gold(spark: SparkSession, silver_root: str, staging: Staging, grid: Grid, p
     found = users.agg(F.count_if("covered").alias("covered"), F.count_if("hit").alias("hit")).first()
     if (found["covered"], found["hit"]) != (chosen["covered_users"], chosen["hit_users"]):
         raise ValueError("the evaluation per user differs from the chosen cell")
-    staging.publish()
-    return GoldReport(scored, selected, mining.rule_metrics(files.read_table(spark, staging.root, "association_rules")), users)
+    return GoldReport(scored, selected, mining.rule_metrics(staging.commit().read("association_rules")), users)

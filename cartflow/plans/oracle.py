@@ -389,6 +389,11 @@ BODIES = {
     "read_csv_split": "SELECT * FROM shop_orders",
     "write_and_read_table": "SELECT * FROM items",
     "publish_verified": "SELECT count(*) AS rows_found, CAST(0 AS BIGINT) AS unlabelled, count(*) AS rows_published FROM orders",
+    "layer_commits": """
+        SELECT 1 AS commit, 'orders' AS table, count(*) AS n FROM orders UNION ALL
+        SELECT 1, 'lineitem', count(*) FROM lineitem UNION ALL
+        SELECT 2, 'orders', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL
+        SELECT 2, 'lineitem', count(*) FROM lineitem WHERE l_linestatus = 'F'""",
     "with_lineage": "SELECT 'run_1' AS run_id, count(*) AS rows, count(*) AS timed, count(*) AS from_lineitem FROM lineitem",
     "backfill_run_id": "SELECT o_orderkey, o_custkey, 'run_1' AS run_id FROM orders",
     "bucket_sample": "SELECT * FROM items WHERE order_id % 10000 < 500",

@@ -17,7 +17,7 @@ from cartflow.operators.frames import stack
 from cartflow.plans.layers import GRID as LAYER_GRID
 from cartflow.plans.retail import FINAL, GRID, Retail
 from cartflow.session import materialize, scratch_path
-from cartflow.sources import files, sampling
+from cartflow.sources import commits, files, sampling
 
 BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,29 @@ def publish_verified(r: Retail) -> DataFrame:
     )
 
 
+@query
+def layer_commits(r: Retail) -> DataFrame:
+    """Rows of two commits of a layer; what a third writer has stored without a commit is in none of them."""
+    root = scratch_path(r.spark, "layer")
+    first = commits.Writer(r.spark, root)
+    first.store(r.source("orders"), "orders")
+    first.store(r.source("lineitem"), "lineitem")
+    first.commit()
+    second = commits.Writer(r.spark, root, replace=True)
+    second.store(r.source("orders").where(F.col("o_orderstatus") == "F"), "orders")
+    second.store(r.source("lineitem").where(F.col("l_linestatus") == "F"), "lineitem")
+    third = commits.Writer(r.spark, root, replace=True)
+    third.store(r.source("orders").limit(0), "orders")
+    second.commit()
+    counts = []
+    for number in commits.numbers(r.spark, root):
+        layer = commits.snapshot(r.spark, root, number)
+        for name in sorted(layer.tables):
+            rows = layer.read(name).agg(F.count(F.lit(1)).alias("n"))
+            counts.append(rows.select(F.lit(number).alias("commit"), F.lit(name).alias("table"), "n"))
+    return stack(counts)
+
+
 @query
 def with_lineage(r: Retail) -> DataFrame:
     return files.with_lineage(r.source("lineitem"), RUN_ID).groupBy("run_id").agg(
