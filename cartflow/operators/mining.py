@@ -21,6 +21,7 @@ from cartflow.functions.baskets import config_id, overlaps, rule_id, rule_label
 from cartflow.operators.frames import beside, stack
 from cartflow.operators.partition_mining import partition_itemsets
 from cartflow.operators.quality import invalid_baskets
+from cartflow.operators.quantiles import exact_percentile
 from cartflow.session import materialize
 
 # The sizes that `growth_report` compares a fit with, and the training basket size.
@@ -182,20 +183,26 @@ def useful_rules(rules: DataFrame, min_confidence: float) -> DataFrame:
     return ordered.dropDuplicates(["antecedent", "consequent"]).withColumn("rule_id", rule_id())
 
 
+METRICS = ("association_rules", "avg_support", "avg_confidence", "avg_lift", "median_lift", "rules_lift_gt_1")
+
+
 def _metrics() -> list[Column]:
     return [
         F.count("lift").alias("association_rules"),
         F.avg("support").alias("avg_support"),
         F.avg("confidence").alias("avg_confidence"),
         F.avg("lift").alias("avg_lift"),
-        F.percentile("lift", 0.5).alias("median_lift"),
         F.count_if(F.col("lift") > 1).alias("rules_lift_gt_1"),
     ]
 
 
 def rule_metrics(rules: DataFrame) -> DataFrame:
     """Number, mean support, confidence and lift, exact median lift, and rules with lift above 1: one row."""
-    return rules.agg(*_metrics())
+    return beside(rules.agg(*_metrics()), median_lift(rules, [])).select(*METRICS)
+
+
+def median_lift(rules: DataFrame, keys: list[str]) -> DataFrame:
+    return exact_percentile(rules, keys, "lift").withColumnRenamed("lift", "median_lift")
 
 
 def _cells(rules: DataFrame, grid: Grid, baskets: int) -> DataFrame:
@@ -223,11 +230,9 @@ def grid_metrics(itemsets: DataFrame, rules: DataFrame, grid: Grid, baskets: int
     A cell without rules keeps its row: counts 0 and no averages. `rules` holds the rules of the lowest
     levels with their `freq`.
     """
-    per_cell = (
-        _cells(rules, grid, baskets)
-        .groupBy("config_id")
-        .agg(*_metrics(), F.count_if(is_useful()).alias("useful_rules"))
-    )
+    in_cells = _cells(rules, grid, baskets)
+    per_cell = in_cells.groupBy("config_id").agg(*_metrics(), F.count_if(is_useful()).alias("useful_rules"))
+    medians = median_lift(in_cells, ["config_id"])
     levels = [
         F.when(F.col("freq") >= min_count(s, baskets), F.lit(s)) for s in sorted(grid.supports)
     ]
@@ -242,6 +247,7 @@ def grid_metrics(itemsets: DataFrame, rules: DataFrame, grid: Grid, baskets: int
         .drop("min_count")
         .join(per_level, "min_support", "left")
         .join(per_cell, "config_id", "left")
+        .join(medians, "config_id", "left")
         .withColumn("training_baskets", F.lit(baskets).cast("long"))
         .fillna(0, subset=counts)
     )
