@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -38,9 +38,12 @@ def in_sample(key: Column, rows: int, limit: int) -> Column:
 class Memo(dict):
     """Results of a pure function of a text unit, in two generations of `limit` entries each.
 
-    Units recur so often that nearly every lookup is answered here. Only the speed depends on the limit.
+    Units recur so often that nearly every lookup is answered here. Only the speed depends on the limit. Units above
+    `longest` characters, such as texts without spaces, are not remembered, so that memory has a bound in bytes.
     """
 
+    longest = 64
+
     def __init__(self, compute: Callable, limit: int = 500_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
@@ -55,9 +58,16 @@ class Memo(dict):
         value = self.old.get(unit)
         if value is None:
             value = self.compute(unit)
-        self[unit] = value
+        if len(unit) <= self.longest:
+            self[unit] = value
         return value
 
+    def forget(self, units: Iterable) -> None:
+        """Drop those of the units, put in by the caller, that are too long to stay."""
+        for unit in units:
+            if len(unit) > self.longest:
+                del self[unit]
+
 
 _shipped: set[str] = set()
 

@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from cartflow.llm.common import per_batch, remainder, text_of
 
-SAMPLE_PER_LANGUAGE = 1_500  # about so many documents of each language are learned from
-SAMPLE_CHARS = 2_000  # and of each of them one passage of so many characters; prediction takes whole texts
+SAMPLE_WINDOWS = 6_000  # about so many windows of each language are learned from, out of all windows of all texts
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -88,18 +87,11 @@ class ByteNet:
         return names, scores
 
 
-def fit_net(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.01, per_text: int = 4, seed: int = 5) -> ByteNet:
+def fit_net(rows: np.ndarray, langs: list[str], epochs: int = 4, rate: float = 0.01, seed: int = 5) -> ByteNet:
     """Adam on the cross-entropy of single windows; the gradient of a max pool goes to its winning position."""
     languages = sorted(set(langs))
     random = np.random.default_rng(seed)
-    rows, target = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        cut = windows(text.encode("utf-8"))
-        chosen = random.permutation(len(cut))[:per_text]
-        rows.append(cut[chosen])
-        target += [languages.index(lang)] * len(chosen)
-    data = np.pad(np.concatenate(rows), ((0, 0), (0, 3))) if rows else np.zeros((0, WINDOW + 3), np.uint8)
-    target = np.array(target, int)
+    data, target = np.pad(rows, ((0, 0), (0, 3))), np.array([languages.index(x) for x in langs], int)
     values = {"bytes": random.normal(0, 0.3, (256, VECTOR))}
     for w in WIDTHS:
         values[f"filter{w}"] = random.normal(0, 1 / np.sqrt(w * VECTOR), (w, VECTOR, FILTERS))
@@ -146,22 +138,37 @@ def fit_net(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0
     return ByteNet(languages, values)
 
 
-def fit_language(docs: DataFrame, rows: int = SAMPLE_PER_LANGUAGE) -> ByteNet:
-    """Learn from a bounded sample: about `rows` documents of each language, chosen by a hash of the id."""
+def fit_language(docs: DataFrame, rows: int = SAMPLE_WINDOWS) -> ByteNet:
+    """Learn from about `rows` windows of each language. A window is chosen by a hash of its document and its number,
+    so that every part of every text may be learned from, and a long text gives no more than its share."""
     usable = docs.select(docs["doc_id"], docs["lang"], text_of(docs).alias("text"))
     usable = usable.where(F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), FOLDS) != HELD_OUT))
+    count = F.ceil(F.octet_length("text") / WINDOW)
     # One number per language, as many as the model has outputs.
-    counts = usable.groupBy("lang").count().collect()
+    counts = usable.groupBy("lang").agg(F.sum(count).alias("n")).collect()
     if not counts:
-        return fit_net([], [])
-    slots = 1_000_000
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], slots * rows / r["count"])])
-    chosen = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(slots)) < F.element_at(share, F.col("lang"))
-    first = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))) + 1
-    passage = F.substring("text", first.cast("int"), F.lit(SAMPLE_CHARS))
-    sample = usable.where(chosen).select(passage.alias("text"), "lang")
-    got = sorted((r.text, r.lang) for r in sample.collect())
-    return fit_net([t for t, _ in got], [x for _, x in got])
+        return fit_net(np.zeros((0, WINDOW), np.uint8), [])
+    slots = 1 << 40
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(slots, -(-slots * rows // r["n"]))))])
+    slot = lambda i: F.pmod(F.xxhash64(F.lit("window"), "doc_id", i), F.lit(slots))
+    numbers = F.sequence(F.lit(0), (count - 1).cast("int"))
+    limited = usable.withColumn("limit", F.element_at(share, F.col("lang")))
+    chosen = limited.select("doc_id", "lang", "text", F.filter(numbers, lambda i: slot(i) < F.col("limit")).alias("at"))
+
+    def make():
+        def step(rows: dict) -> dict:
+            cut = [windows(t.encode("utf-8"))[at].tobytes() for t, at in zip(rows["text"], rows["at"], strict=True)]
+            return {"doc_id": rows["doc_id"], "lang": rows["lang"], "windows": cut}
+
+        return step
+
+    # Texts without a chosen window stay in the JVM.
+    some = chosen.where(F.size("at") > 0).select("doc_id", "lang", "text", "at")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = per_batch(some, make, f"doc_id {kind}, lang string, windows binary").toPandas().sort_values(["doc_id", "windows"])
+    cut = [np.frombuffer(x, np.uint8).reshape(-1, WINDOW) for x in got["windows"]]
+    langs = [lang for lang, x in zip(got["lang"], cut, strict=True) for _ in range(len(x))]
+    return fit_net(np.concatenate(cut), langs) if cut else fit_net(np.zeros((0, WINDOW), np.uint8), [])
 
 
 def identify(docs: DataFrame, model: ByteNet) -> DataFrame:

@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 from cartflow.llm.common import Memo, per_batch, remainder, text_of
 from cartflow.llm.quality_rules import labelled
 
-SAMPLE_ROWS = 6_000  # about so many labelled documents are learned from
-SAMPLE_WORDS = 600  # and of each of them one window of so many words; scoring takes whole texts
+SAMPLE_ROWS = 6_000  # about so many labelled documents are learned from, with their whole texts
 FOLDS = 5
 THRESHOLD = 0.5
 
@@ -66,9 +65,12 @@ class BagModel:
         return score
 
 
-def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text its distinct buckets and their shares of the bag."""
-    memo, out = Memo(subwords), []
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def bags(texts: list[str], memo: Memo | None = None) -> list[Bag]:
+    """Per text its distinct buckets, no more than BUCKETS, and their shares of the bag."""
+    memo, out = Memo(subwords) if memo is None else memo, []
     for text in texts:
         counts: Counter[int] = Counter()
         for word, times in Counter(words_of(text)).items():
@@ -79,14 +81,14 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit_bags(texts: list[str], labels: np.ndarray, size: int = 8, epochs: int = 12, rate: float = 0.4, seed: int = 11) -> BagModel:
+def fit_bags(data: list[Bag], labels: np.ndarray, size: int = 8, epochs: int = 12, rate: float = 0.4, seed: int = 11) -> BagModel:
     """Adagrad on the cross-entropy of a two-class softmax over averaged vectors."""
     n = len(labels)
     prior = (labels.sum() + 1.0) / (n + 2.0)
     base = float(np.log(prior / (1 - prior)))
     if not n or labels.min() == labels.max():
         return BagModel(np.zeros(BUCKETS), base)
-    random, data = np.random.default_rng(seed), bags(texts)
+    random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / size, 1 / size, (BUCKETS, size)).astype(np.float32)
     weights = random.normal(0, 1, (size, 2)).astype(np.float32)
     bias = np.array([-base / 2, base / 2], np.float32)
@@ -117,14 +119,28 @@ def fit_bags(texts: list[str], labels: np.ndarray, size: int = 8, epochs: int =
     return BagModel(turned, float(bias[1] - bias[0]))
 
 
+def sampled_bags(sample: DataFrame) -> DataFrame:
+    """doc_id, label and the bag of each whole text, made inside the tasks: its size has a bound, that of a text has none."""
+
+    def make():
+        memo = Memo(subwords)
+
+        def step(rows: dict) -> dict:
+            found = bags(rows["text"], memo)
+            packed = {"at": [at.tobytes() for at, _ in found], "share": [share.tobytes() for _, share in found]}
+            return {"doc_id": rows["doc_id"], "label": rows["label"]} | packed
+
+        return step
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    return per_batch(sample.select("doc_id", "label", "text"), make, f"doc_id {kind}, label double, at binary, share binary")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, name: str = "toxic", rows: int = SAMPLE_ROWS) -> BagModel:
-    """Learn from a bounded sample: about `rows` documents, a window of SAMPLE_WORDS words of each."""
-    sample = labelled(docs, labels, name, FOLDS, rows)
-    words = F.split("text", r"\s+")
-    first = F.pmod(F.xxhash64("doc_id"), F.greatest(F.size(words) - SAMPLE_WORDS + 1, F.lit(1))).cast("int") + 1
-    window = F.array_join(F.slice(words, first, SAMPLE_WORDS), " ")
-    got = sorted((r.text, r.label) for r in sample.select(window.alias("text"), "label").collect())
-    return fit_bags([t for t, _ in got], np.array([y for _, y in got]))
+    """Learn from a bounded sample of about `rows` documents; their bags come to the driver."""
+    got = sampled_bags(labelled(docs, labels, name, FOLDS, rows)).toPandas().sort_values("doc_id")
+    data = [(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32)) for a, s in zip(got["at"], got["share"], strict=True)]
+    return fit_bags(data, got["label"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, model: BagModel, threshold: float = THRESHOLD) -> DataFrame:

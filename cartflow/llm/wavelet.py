@@ -211,6 +211,7 @@ class Tokenizer:
             for part, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 parts[part] = array("I", got.ids).tobytes()
         out = [b"".join([parts[x] for x in c]) for c in cut]
+        parts.forget(new)
         parts.trim()
         return out
 
@@ -227,6 +228,7 @@ class Tokenizer:
         look = units.__getitem__
         heads = [self.encode_whole(t) if f is None else next(start) for t, f in zip(texts, firsts, strict=True)]
         out = [head + b"".join(map(look, rest)) for head, rest in zip(heads, rests, strict=True)]
+        units.forget(new)
         units.trim()
         return out
 

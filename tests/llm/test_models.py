@@ -146,7 +146,7 @@ def test_misspellings_share_vectors():
     texts = [" ".join(random.choice(words, 30)) for _ in range(400)]
     label = np.arange(400) % 2
     texts = [t + " zblorgquix" * 2 if y else t for t, y in zip(texts, label, strict=True)]
-    score = toxicity.fit_bags(texts, label.astype(float)).scorer()
+    score = toxicity.fit_bags(toxicity.bags(texts), label.astype(float)).scorer()
     clean = " ".join(words[:30])
     assert score(clean) < 0.5 < score(clean + " zblorgquiz zblorqquix")
 
@@ -154,7 +154,8 @@ def test_misspellings_share_vectors():
 def test_folded_tables_equal_the_convolution():
     random = np.random.default_rng(2)
     texts = ["".join(random.choice(list("abcdeé"), 300)) for _ in range(40)]
-    net = language.fit_net(texts, ["x", "y"] * 20, epochs=1)
+    cut = [language.windows(t.encode())[:1] for t in texts]
+    net = language.fit_net(np.concatenate(cut), ["x", "y"] * 20, epochs=1)
     rows = language.windows(texts[0].encode())
     padded = np.pad(rows, ((0, 0), (0, 3)))
     vectors = net.weights["bytes"][padded]
@@ -165,3 +166,47 @@ def test_folded_tables_equal_the_convolution():
     hidden = np.maximum(np.concatenate(pooled, 1) + net.weights["bias"], 0)
     plain = hidden @ net.weights["dense"] + net.weights["dense_bias"]
     assert np.allclose(plain, net.logits(rows), atol=1e-4)
+
+
+def test_scores_equal_plain_loops(spark, sample):
+    """Toxicity and language of whole texts with the learned numbers, word by word and byte by byte."""
+    docs = spark.read.parquet(f"{sample}/documents.parquet").where("doc_id % 25 = 0")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sample}/labels.parquet"))
+    for row in toxicity.score_toxicity(docs, model).collect():
+        at = [b for word in re.findall(r"\w+", texts[row.doc_id].lower()) for b in toxicity.subwords(word)]
+        total = model.bias + sum(model.logits[b] for b in at) / max(1, len(at))
+        assert row.score == pytest.approx(1 / (1 + math.exp(-total)), rel=1e-9)
+    net = language.fit_language(spark.read.parquet(f"{sample}/documents.parquet"), rows=300)
+    weights = net.weights
+    shortest = sorted(texts, key=lambda i: len(texts[i]))[:8]
+    named = {r.doc_id: r for r in language.identify(docs, net).collect()}
+    for doc_id in shortest:
+        raw, logits = texts[doc_id].encode(), []
+        for start in range(0, max(1, len(raw)), 128):
+            cut = list(raw[start : start + 128])
+            cut += [0] * (131 - len(cut))
+            pooled = []
+            for w in language.WIDTHS:
+                kernel = weights[f"filter{w}"]
+                sums = [sum(weights["bytes"][cut[i + j]] @ kernel[j] for j in range(w)) for i in range(128)]
+                pooled.append(np.max(sums, 0))
+            hidden = np.maximum(np.concatenate(pooled) + weights["bias"], 0)
+            logits.append(hidden @ weights["dense"] + weights["dense_bias"])
+        mean = np.mean(np.array(logits, float), 0)
+        chance = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+        assert named[doc_id].lang_pred == net.languages[int(chance.argmax())]
+        assert named[doc_id].score == pytest.approx(chance.max(), rel=1e-3)
+
+
+def test_all_parts_of_a_text_are_learned_from(spark):
+    """The only toxic word, and the only letters of a language, stand at the end of long texts."""
+    filler = "plain words go on and on " * 900
+    rows = [(i, filler + ("zblorgquix" if i % 2 else "harmless"), "xy"[i % 2]) for i in range(1, 121)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    bags = toxicity.sampled_bags(quality_rules.labelled(docs, labels, "toxic", 5, 1_000)).collect()
+    word = toxicity.subwords("zblorgquix")[0]
+    assert bags and all((word in np.frombuffer(r["at"], np.int32)) == (r.label == 1) for r in bags)
+    model = toxicity.fit_bags([(np.frombuffer(r["at"], np.int32), np.frombuffer(r.share, np.float32)) for r in bags], np.array([r.label for r in bags]))
+    assert model.scorer()("zblorgquix") > model.scorer()("harmless")

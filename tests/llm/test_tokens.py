@@ -155,3 +155,15 @@ def test_queries_on_the_whole_table(spark, sample, rank_library, json_library, p
         (queries.op7_token_counts, counted),
     ):
         assert sorted(tuple(r) for r in query(spark, sample).collect()) == expected
+
+
+def test_long_units_are_not_remembered():
+    long = "\u65e5\u672c" * 5_000
+    bpe_encoder = bpe.Encoder(bpe.load_ranks(bpe.public_tokenizers.path(bpe.RANKS)))
+    counter = token_count.Counter(token_count.public_tokenizers.path(token_count.MODEL))
+    tokens = wavelet.Tokenizer(wavelet.public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (long, "QUJD" * 3_000, f"short words and {long} again"):
+        first = bpe_encoder.encode(text), counter.count(text), tokens.encode_all([text])
+        assert first == (bpe_encoder.encode(text), counter.count(text), tokens.encode_all([text]))
+    for memo in (bpe_encoder.memo, bpe_encoder.merged, counter.memo, tokens.units, tokens.parts):
+        assert max(map(len, [*memo, *memo.old])) <= memo.longest
