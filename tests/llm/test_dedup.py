@@ -155,20 +155,20 @@ def test_scattered_edits_are_found(spark):
     assert sum(found) >= 0.9 * sum(linked)
 
 
-def test_blocks_of_a_bucket_meet_each_other(spark):
-    """All pairs of different classes, whatever the blocks; a class with a block of its own is not met with itself."""
-    rng = np.random.default_rng(3)
-    bases = [rng.integers(0, 60000, 40).astype(np.uint16) for _ in range(6)]
-    rows = []
-    for i in range(90):
-        words = bases[i % 6].copy()
-        words[rng.integers(0, 40, 3)] = 7
-        rows.append((1, bytes([i]), bytes([0 if i % 6 == 0 else i]), words.tobytes()))
-    table = spark.createDataFrame(rows, "key long, node binary, root binary, words binary")
-    edges = near_dedup.bucket_links(table.select("key", "node", "root"), table.select("node", "words"), 0.8, block=10).collect()
-    links = [(r.u[0], r.v[0]) for r in edges] + [(0, i) for i in range(0, 90, 6)]
-    assert roots(90, links) == [i % 6 for i in range(90)]
-    assert not any(r.u[0] % 6 == 0 and r.v[0] % 6 == 0 for r in edges)
+def test_a_passage_in_all_texts_links_none(spark):
+    """Every text holds one long line, so that its buckets hold all texts; the pairs among them are found all the same."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    line = [rng.choice(vocabulary) for _ in range(25)]
+    texts = []
+    for k in range(300):
+        own = [rng.choice(vocabulary) for _ in range(50)]
+        at = rng.randint(0, 50)
+        near = scattered(rng, own, 0.04, vocabulary)
+        texts += [" ".join(x[:at] + line + x[at:]) for x in (own, near)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, texts)).collect()}
+    assert all(got[i] in (i, i - i % 2) for i in range(600))
+    assert sum(got[2 * k + 1] == 2 * k for k in range(300)) >= 290
 
 
 def test_odd_rows_have_classes(odd_docs, no_docs):
