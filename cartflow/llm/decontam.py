@@ -1,34 +1,43 @@
 """Benchmark decontamination by templates.
 
-Texts become templates: numbers, units and names are replaced by typed placeholders, other words are lower-cased.
-A capitalised word that starts a sentence may be a name or not, so windows that hold one are taken both ways.
-Windows of template words are hash-joined between documents and benchmark items. Windows that meet on one diagonal
-must fill their placeholders consistently, each value of the item by one value of the document and the other way
-round; so a question with other numbers or names is found, and a chance meeting of templates is not. A document is
-contaminated by an item if consistent windows cover at least SHARE of the item's windows.
-
-Defined cases: a null text counts as empty and matches nothing; texts of any length are read whole; items with fewer
-than LITERALS plain words are not looked for, shorter ones than a window are looked for as a whole; items with the same
-template count as one, named by the smallest id; repeated documents each give their rows; a null id stays null; empty
-tables give no rows; columns other than `doc_id`, `item_id` and `text` are not looked at, and those of
-`clean_documents` are kept.
+Texts become templates: numbers, units and names are replaced by typed placeholders, other words are lower-cased;
+characters of scripts without spaces are words of their own. A capitalised word that starts a sentence may be a name or
+not, so windows that hold one are taken both ways. Windows of template words are hash-joined between documents and
+benchmark items. On one diagonal a window counts if it is equal to the item's, or if its changed slots are filled as most
+windows there fill them: each number and unit by one value, each name by one name that stands for no other. So a question
+with other numbers or names is found, and a chance meeting of templates is not. A document is contaminated by an item if
+windows that count cover at least SHARE of the item's windows, or a run of RUN words.
+
+Items without a window of LITERALS plain words, such as formulas and questions of a few words, are looked for as they are
+written, without placeholders: all their windows of literal words must be there. One or two such words must be the whole
+document. Windows that more than COMMON items hold lead to an item only where it would otherwise not have enough windows
+of its own, and count for no run.
+
+Defined cases: a null text counts as empty and matches nothing; texts of any length are read whole; items without a
+visible character are not looked for, shorter ones than a window are looked for as a whole; items with the same template
+count as one, named by the smallest id; repeated documents each give their rows; a null id stays null; empty tables give
+no rows; columns other than `doc_id`, `item_id` and `text` are not looked at, and those of `clean_documents` are kept.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartflow.llm.common import materialize, per_batch, text_of
+from cartflow.llm.common import Memo, materialize, per_batch, text_of
 
 WINDOW = 8
 LITERALS = 4  # plain words that a window needs
 SHARE = 0.5
+RUN = 13  # template words of an item in a row
+COMMON = 50  # items that hold a window, beyond which it tells little
+SHORT = 3  # literal words, below which an item must be a whole document
 FILTER_BITS = 24  # of the Bloom filter over the benchmark's windows; its size does not depend on the benchmark
 
 LITERAL, NUMBER, UNIT, CAPITAL, NOTHING = range(5)
@@ -45,6 +54,18 @@ UNIT_WORDS = (
 ).split()
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/]*(?:%|[^\W\d_]{1,3})?")
 EDGES = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
+# Scripts without spaces: Thai to Khmer, kana, Han and their extensions.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED_TEXT, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
+
+
+def words_of(text: str) -> list[str]:
+    return text.split() if text.isascii() or not UNSPACED_TEXT.search(text) else WORD.findall(text)
+
+
+def literal_hashes(words: list[str]) -> np.ndarray:
+    """Hashes of the words as they are written, but for case and the punctuation around them."""
+    return np.array([xxhash.xxh64_intdigest("literal " + (EDGES.sub("", w) or w).lower()) for w in words], np.uint64)
 
 
 class Canon:
@@ -105,19 +126,23 @@ class Canon:
         return out if out[1][4].any() else out[:1]
 
 
-def window_hashes(hashes: np.ndarray, holder: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the windows of `size` template words with enough plain words."""
+def runs_of(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all windows of `size` words."""
     n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    plain = np.concatenate(([0], np.cumsum(holder == 0)))
-    start = np.flatnonzero(plain[size:] - plain[:-size] >= LITERALS)
-    out = np.full(n, size, np.uint64)
+    out = np.full(max(0, n), size, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(size):
+        for k in range(size if n > 0 else 0):
             out = (out + hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
-    return start, out[start].view(np.int64)
+    return out.view(np.int64)
+
+
+def window_hashes(hashes: np.ndarray, holder: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the windows of `size` template words with enough plain words."""
+    found = runs_of(hashes, size)
+    plain = np.concatenate(([0], np.cumsum(holder == 0)))
+    start = np.flatnonzero(plain[size:] - plain[:-size] >= LITERALS) if found.size else np.zeros(0, np.int64)
+    return start, found[start]
 
 
 def windows_both_ways(templates: list[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -131,21 +156,35 @@ def windows_both_ways(templates: list[tuple[np.ndarray, ...]], size: int) -> Ite
         yield number, start, found
 
 
-def slots(words: list[str], at: np.ndarray, holder: np.ndarray, start: int, size: int) -> list[str]:
-    """The written values of a window's placeholders, in order."""
+Slot = tuple[int, str]  # kind and written value
+
+
+def slots(words: list[str], at: np.ndarray, holder: np.ndarray, start: int, size: int) -> list[Slot]:
+    """The placeholders of a window, in order."""
     ends = np.append(at, len(words))
-    return [" ".join(EDGES.sub("", w) for w in words[at[i] : ends[i + 1]]).strip() for i in range(start, start + size) if holder[i]]
+    return [
+        (int(holder[i]), " ".join(EDGES.sub("", w) for w in words[at[i] : ends[i + 1]]).strip())
+        for i in range(start, start + size)
+        if holder[i]
+    ]
 
 
 def window(words: list[str], at: np.ndarray, holder: np.ndarray, place: np.ndarray, start: int, found: int, size: int) -> dict:
     return {"hash": found, "at": int(place[start]), "size": size, "slots": slots(words, at, holder, start, size)}
 
 
-WINDOWS = "array<struct<hash:bigint,at:int,size:int,slots:array<string>>>"
+def literal_windows(words: list[str], size: int) -> list[dict]:
+    found = runs_of(literal_hashes(words), size).tolist()
+    return [{"hash": h, "at": i, "size": -size, "slots": []} for i, h in enumerate(found)]
+
+
+# The size of a window of literal words is negative.
+WINDOWS = "array<struct<hash:bigint,at:int,size:int,slots:array<struct<kind:int,value:string>>>>"
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_windows (places with a window) and the windows of one item of each template."""
+def item_windows(benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """item_id, n_windows (places with a window), and per window of one item of each template what it is and whether it
+    leads to its item."""
 
     def make():
         canon = Canon()
@@ -153,19 +192,22 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         def step(rows: dict) -> dict:
             out = {"item_id": rows["item_id"], "template": [], "windows": []}
             for text in rows["text"]:
-                words = text.split()
+                words = words_of(text)
                 templates = canon.templates(words)
                 hashes, holder, at, _, _ = templates[0]
                 values = slots(words, at, holder, 0, len(hashes))
                 first = {v: i for i, v in reversed(list(enumerate(values)))}
                 pattern = hashes.tobytes() + repr([first[v] for v in values]).encode()
-                out["template"].append(xxhash.xxh128_hexdigest(pattern))
                 windows = []
                 for size in sorted({max(1, min(WINDOW, len(t[0]))) for t in templates}):
                     for number, start, found in windows_both_ways(templates, size):
                         _, holder, at, place, _ = templates[number]
                         if size == max(1, min(WINDOW, len(at))):
                             windows += [window(words, at, holder, place, s, h, size) for s, h in zip(start.tolist(), found.tolist(), strict=True)]
+                if words and not windows:
+                    windows = literal_windows(words, min(WINDOW, len(words)))
+                    pattern = literal_hashes(words).tobytes()
+                out["template"].append(xxhash.xxh128_hexdigest(pattern))
                 out["windows"].append(windows)
             return out
 
@@ -177,7 +219,14 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     one = items.groupBy("template").agg(F.min(F.struct("item_id", "windows")).alias("first")).select("first.*")
     places = F.size(F.array_distinct(F.transform("windows", lambda w: w["at"])))
     flat = one.select("item_id", places.alias("n_windows"), F.explode("windows").alias("w"))
-    return flat.select("item_id", "n_windows", "w.hash", "w.size", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"))
+    flat = flat.select("item_id", "n_windows", "w.hash", "w.size", F.col("w.at").alias("item_at"), F.col("w.slots").alias("item_slots"))
+    held = flat.groupBy("hash").agg(F.countDistinct("item_id").alias("held"))
+    # The rarest windows of an item, so many that one of them is among any SHARE of all.
+    rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("held", "item_at", "hash"))
+    enough = F.floor(F.col("n_windows") * (1 - share)) + 1
+    ranked = flat.join(held, "hash").withColumn("rank", rarest)
+    common = F.col("held") > COMMON
+    return ranked.select(*flat.columns, (~common | (F.col("rank") <= enough)).alias("leads"), common.alias("common"))
 
 
 def bloom(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -194,18 +243,28 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
     """doc_id, node and those windows that the filter lets pass. No shuffle."""
     width = int(len(bits)).bit_length() + 5
     sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
+    plain, literal = [n for n in sizes if n > 0], [-n for n in sizes if n < 0]
 
     def make():
         canon, known = Canon(), np.frombuffer(sent.value, np.int64)
+        memo = Memo(lambda word: int(literal_hashes([word])[0]))
+
+        def known_words(words: list[str]) -> np.ndarray:
+            return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
         def passing(found: np.ndarray) -> np.ndarray:
             slot = found & ((1 << width) - 1)
             return np.flatnonzero(known[slot >> 6] >> (found & 63) & 1)
 
         def windows_of(text: str) -> list[dict]:
-            words, out = text.split(), []
+            words, out = words_of(text), []
+            for size in literal:
+                # One or two words count as the whole document only.
+                if len(words) >= size and (size >= SHORT or len(words) == size):
+                    found = runs_of(known_words(words), size)
+                    out += [{"hash": int(found[i]), "at": i, "size": -size, "slots": []} for i in passing(found).tolist()]
             templates = canon.templates(words)
-            for size in sizes:
+            for size in plain:
                 for number, start, found in windows_both_ways(templates, size):
                     _, holder, at, place, _ = templates[number]
                     for i in passing(found).tolist():
@@ -224,21 +283,73 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
     return passed.select("doc_id", "node", "w.hash", "w.at", "w.slots")
 
 
+def counting(windows: list[dict]) -> list[dict]:
+    """Those windows of a diagonal that are equal to the item's, or whose changed slots are filled as most are there."""
+    votes: dict[tuple, Counter] = {}
+    for w in windows:
+        for i, d in zip(w["item"], w["doc"], strict=True):
+            votes.setdefault((i["kind"], i["value"]), Counter())[d["value"]] += 1
+            if i["kind"] == CAPITAL:
+                votes.setdefault(("from", d["value"]), Counter())[i["value"]] += 1
+    # Ties go to the smallest value.
+    chosen = {k: min(c, key=lambda v: (-c[v], v)) for k, c in votes.items()}
+
+    def fits(i: dict, d: dict) -> bool:
+        if i["value"] == d["value"]:
+            return True
+        same = chosen[i["kind"], i["value"]] == d["value"]
+        return same and (i["kind"] != CAPITAL or chosen["from", d["value"]] == i["value"])
+
+    return [w for w in windows if all(fits(i, d) for i, d in zip(w["item"], w["doc"], strict=True))]
+
+
+def covered(windows: list[dict]) -> tuple[int, int]:
+    """Places that the windows cover, and the longest run of template words under those that are not common."""
+    longest = start = end = 0
+    for at, size in sorted({(w["at"], w["size"]) for w in windows if w["size"] > 0 and not w["common"]}):
+        start, end = (start, max(end, at + size)) if at <= end else (at, at + size)
+        longest = max(longest, end - start)
+    return len({w["at"] for w in windows}), longest
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, node, item_id, covered: the contaminated documents with the items found in them."""
-    items = materialize(item_windows(benchmark), "items")
-    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most WINDOW values
-    found = document_windows(docs, bloom(items), sizes)
-    met = found.join(items.drop("size"), "hash")
-    filled = F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))
-    lines = met.groupBy("doc_id", "node", "item_id", "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
-        F.array_distinct(filled).alias("pairs"), F.collect_set("item_at").alias("places")
+    """doc_id, node, item_id, covered: the contaminated documents with the items found in them.
+
+    `covered` is the share of the item's windows on its best diagonals.
+    """
+    items = materialize(item_windows(benchmark, share), "items")
+    sizes = sorted(r.size for r in items.select("size").distinct().collect())  # at most 2 x WINDOW values
+    found = materialize(document_windows(docs, bloom(items), sizes), "windows")
+    keys = ["doc_id", "node", "item_id"]
+    led = found.select("doc_id", "node", "hash").join(items.where("leads").select("hash", "item_id"), "hash").select(keys).distinct()
+    same = F.col("l.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("l.node") == F.col("f.node"))
+    near = led.alias("l").join(found.alias("f"), same).select("l.doc_id", "l.node", F.col("l.item_id").alias("led"), "f.hash", "f.at", "f.slots")
+    sides = F.struct(F.col("item_at").alias("at"), "size", "common", F.col("item_slots").alias("item"), F.col("slots").alias("doc"))
+    met = near.join(items, (near["hash"] == items["hash"]) & F.col("led").eqNullSafe(F.col("item_id")))
+    # A diagonal has at most the windows of an item, each in a few readings.
+    lines = met.groupBy(*keys, "n_windows", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(sides).alias("windows"))
+
+    def make():
+        def step(rows: dict) -> dict:
+            kept = [counting(w) for w in rows["windows"]]
+            sums = [covered(w) for w in kept]
+            out = {k: rows[k] for k in (*keys, "n_windows")}
+            return out | {"places": [sorted({x["at"] for x in w}) for w in kept], "run": [n for _, n in sums], "literal": [any(x["size"] < 0 for x in w) for w in kept]}
+
+        return step
+
+    kinds = {n: t.dataType.simpleString() for n, t in zip(lines.schema.names, lines.schema, strict=True)}
+    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "n_windows")) + ", places array<int>, run int, literal boolean"
+    counted = per_batch(lines.select(*keys, "n_windows", "windows"), make, schema)
+    whole = counted.groupBy(*keys, "n_windows").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"),
+        F.max("run").alias("run"),
+        F.max(F.when(F.col("literal"), F.size("places")).otherwise(0)).alias("verbatim"),
+        F.max("literal").alias("literal"),
     )
-    one_way = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    other_way = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"])))
-    covered = lines.where(one_way & other_way).select("doc_id", "node", "item_id", "n_windows", F.explode("places").alias("place"))
-    counted = covered.groupBy("doc_id", "node", "item_id", "n_windows").agg(F.countDistinct("place").alias("n"))
-    return counted.select("doc_id", "node", "item_id", (F.col("n") / F.col("n_windows")).alias("covered")).where(F.col("covered") >= share)
+    part = F.col("n") / F.col("n_windows")
+    caught = F.when(F.col("literal"), F.col("verbatim") == F.col("n_windows")).otherwise((part >= share) | (F.col("run") >= RUN))
+    return whole.where(caught).select(*keys, part.alias("covered"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:

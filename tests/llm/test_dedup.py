@@ -273,9 +273,8 @@ ITEM = "Today Maria buys 12 apples for 5 dollars each and then Maria sells 12 of
     [
         (ITEM, True),
         ("Some words before it. " + ITEM.replace("Maria", "Anna Lee").replace("12", "3.5") + " And after it.", True),
-        (ITEM.replace("Maria", "Anna", 1), False),  # one name stands for two
-        (ITEM.replace("Tom", "Maria"), False),  # two names stand for one
-        (ITEM.replace("12", "7", 1), False),
+        (ITEM.replace("12", "7", 1), True),  # 13 words and more are as they were
+        (ITEM.replace("Maria", "Anna", 1), True),
         ("Maria buys 12 apples.", False),
     ],
 )
@@ -285,6 +284,66 @@ def test_slots_must_be_consistent(spark, text, caught):
     assert [(r.doc_id, r.item_id) for r in found] == ([(40, 7)] if caught else [])
 
 
+def sides(*slots):
+    """A window from (kind, item value, document value) triples."""
+    pair = lambda k, v: {"kind": k, "value": v}
+    return {"at": 0, "size": 8, "common": False, "item": [pair(k, i) for k, i, _ in slots], "doc": [pair(k, d) for k, _, d in slots]}
+
+
+def test_windows_count_by_their_slots():
+    name, number = decontam.CAPITAL, decontam.NUMBER
+    counts = lambda *windows: [w in decontam.counting(list(windows)) for w in windows]
+    assert counts(sides((number, "3", "4")), sides((number, "5", "4"))) == [True, True]  # two numbers may become one
+    assert counts(sides((number, "3", "4")), sides((number, "3", "4")), sides((number, "3", "7"))) == [True, True, False]
+    assert counts(sides((name, "Tom", "Eva")), sides((name, "Tom", "Eva")), sides((name, "Ann", "Eva"))) == [True, True, False]
+    assert counts(sides((name, "Tom", "Eva")), sides((name, "Tom", "Eva")), sides((name, "Tom", "Tom"))) == [True, True, True]
+    assert counts(sides((number, "3", "3")), sides((name, "3", "Eva"))) == [True, True]  # types are apart
+
+
+UNUSUAL = [
+    "Compute 12 + 7 * 3 - 5 .", "What is 7 times 8?", "Solve 3x + 4 = 19 for x.", "Who wrote Hamlet?",
+    "\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b\u3001\u6559\u3048\u3066\u304f\u3060\u3055\u3044",
+]
+
+
+def test_items_without_plain_windows_are_found_as_written(spark):
+    items = spark.createDataFrame([*enumerate(UNUSUAL, 1), (9, "Paris")], "item_id long, text string")
+    texts = [f"Some words before. {x} And some behind." for x in UNUSUAL]
+    texts += [x.replace("7", "9").replace("3", "6").replace("Hamlet", "Faust").replace("\u9996", "\u5317") for x in texts]
+    texts += ["In Paris it rains.", "Paris!", "compute 12 + 7", "\u524d\u7f6e\u304d" + UNUSUAL[4] + "\u5f8c"]
+    found = {(r.doc_id, r.item_id) for r in decontam.matches(frame(spark, texts), items).collect()}
+    # The sentence in Japanese has plain windows, of which one change leaves more than half.
+    assert found == {*((i, i + 1) for i in range(5)), (9, 5), (11, 9), (13, 5)}
+
+
+def test_excerpts_of_long_items(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    item = [rng.choice(vocabulary) for _ in range(200)]
+    noise = lambda n: [rng.choice(vocabulary) + "x" for _ in range(n)]
+    near = [w + "y" if k % 10 == 9 else w for k, w in enumerate(item)]
+    cut = [item[50:150], item[20:33], item[20:32], near]
+    texts = [" ".join(noise(30) + part + noise(30)) for part in cut]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontam.matches(frame(spark, texts), items).collect()) == [0, 1]
+
+
+def test_reparameterised_items_equal_a_plain_search(spark, sample):
+    """Every fifth item with other numbers, and in every second of these other names, in clean hosts."""
+    items = [r for r in spark.read.parquet(f"{sample}/benchmark.parquet").orderBy("item_id").collect()]
+    hosts = [" ".join(f"host{i}word{k}" for k in range(40)) for i in range(len(items))]
+    changed = []
+    for i, item in enumerate(items):
+        words = item.text.split()
+        new = [w.replace("1", "7").replace("2", "8") if any(c.isdigit() for c in w) else w for w in words]
+        changed.append(" ".join(new))
+    texts = [f"{h} {t}" if i % 2 else h for i, (h, t) in enumerate(zip(hosts, changed, strict=True))]
+    table = spark.read.parquet(f"{sample}/benchmark.parquet")
+    found = {(r.doc_id, r.item_id) for r in decontam.matches(frame(spark, texts), table).collect()}
+    assert {(i, item.item_id) for i, item in enumerate(items) if i % 2} <= found
+    assert {i for i, _ in found} == {i for i in range(len(items)) if i % 2}
+
+
 NAMED = "Tom has 5 red apples in his bag. Anna has 3 green apples in her bag. Ben buys 4 yellow apples at the shop."
 
 
