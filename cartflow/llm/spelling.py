@@ -19,6 +19,7 @@ repeated or not; texts and words of any length are used whole; without words the
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from zlib import crc32
@@ -33,7 +34,8 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 ALTERED = 31  # a run is altered where the crc32 of id and run is a multiple of this
 RATIO = 10  # so many times a word's count its form must have
-RUN = re.compile("[a-zÀ-ÿ]+")
+# Runs that are shorter make no word: altering shortens them.
+RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_LENGTH)
 
 # A task hands on its counts when they hold so many words or characters.
 HELD_WORDS, HELD_CHARACTERS = 400_000, 32 << 20
@@ -42,11 +44,9 @@ END = "."  # stands for the end of a word, which consists of letters
 
 
 def altered(doc: str, text: str) -> Iterator[tuple[str, int]]:
-    """The words of a text with their counts: runs in lower case (A-Z), some of them without one of their characters."""
-    start, counts = crc32(f"{doc}:".encode()), {}
-    for run in RUN.findall(text.encode("utf-8").lower().decode("utf-8")):
-        counts[run] = counts.get(run, 0) + 1
-    for run, n in counts.items():
+    """The words of a text with their counts: long runs in lower case (A-Z), some of them without one character."""
+    start, runs = crc32(f"{doc}:".encode()), RUN.findall(text.encode("utf-8").lower().decode("utf-8"))
+    for run, n in Counter(runs).items():
         h = crc32(run.encode("utf-8"), start)
         if h % ALTERED == 0:
             at = h % len(run)
@@ -155,8 +155,10 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = materialize(per_batch(cut, make, f"id bigint, edges array<{edge}>, states array<{state}>"), "paths")
     edges = materialize(both.select(F.inline("edges")).distinct(), "edges")
     onward = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(initial("label")), "").alias("onward"))
-    edges = materialize(edges.join(onward, "child", "left"), "edges")
-    return edges, both.select("id", F.inline("states")).withColumn("edits", F.lit(0))
+    columns = ["node", "label", "child", "target", "onward"]
+    inner = edges.where("child IS NOT NULL").join(onward, "child").select(columns)
+    last = edges.where("child IS NULL").withColumn("onward", F.lit(None).cast("string")).select(columns)
+    return materialize(inner.unionByName(last), "edges"), both.select("id", F.inline("states")).withColumn("edits", F.lit(0))
 
 
 def initial(text: str | Column) -> Column:
