@@ -51,7 +51,7 @@ def build_bronze(
     staging, profiles = commits.Writer(spark, root, replace), {}
     with sized_shuffles(spark, raw):
         for name, spec in specs.items():
-            table = staging.store(files.with_lineage(files.read_source(spark, raw, spec), run_id), name)
+            table = staging.store(files.ingest(spark, raw, spec, run_id), name)
             found = quality.profile_table(table.drop(*files.LINEAGE), spec)
             profiles[name] = materialize(found, f"profile_{name}")
         _require_clean(profiles, specs)

@@ -8,6 +8,7 @@ from cartflow.functions.baskets import config_id
 from cartflow.operators.mining import MAX_ITEMSETS, MAX_RULES
 from cartflow.operators.recommend import FALLBACK_NOTE, FROM_POPULARITY, FROM_RULE
 from cartflow.plans.layers import GRID as LAYER_GRID
+from cartflow.plans.queries import FAILED, FIT_SECONDS, TIMEOUT_SECONDS
 from cartflow.plans.retail import FINAL, GRID, PRODUCT_BASKETS, PRODUCT_SHARE
 
 LOW, LOW_CONFIDENCE = min(GRID.supports), min(GRID.confidences)
@@ -162,11 +163,12 @@ VIEWS = {
           count(*) FILTER (r.lift > 1) AS rules_lift_gt_1, count(*) FILTER (r.lift > 1) AS useful_rules
         FROM grid g LEFT JOIN rules r ON r.freq >= g.least AND r.confidence >= g.min_confidence
         GROUP BY g.config_id, g.min_support, g.min_confidence, g.least""",
-    "scored": """
-        SELECT s.*, c.* EXCLUDE (config_id),
+    "scored": f"""
+        SELECT s.*, c.* EXCLUDE (config_id), {FIT_SECONDS} / CAST(s.min_support AS DOUBLE) AS fit_seconds,
+          s.config_id <> '{config_id(*FAILED)}' AS mined,
           0.40 * coalesce(c.hitrate, 0) + 0.35 * coalesce(c.coverage, 0) + 0.10 * coalesce(s.avg_confidence, 0)
             + 0.10 * least(coalesce(s.median_lift, 0) / 5, 1) + 0.05 * least(s.useful_rules / 10000, 1)
-            AS selection_score
+            - 0.02 * least({FIT_SECONDS} / CAST(s.min_support AS DOUBLE) / {TIMEOUT_SECONDS}, 1) AS selection_score
         FROM rule_stats s LEFT JOIN coverage c USING (config_id)""",
     "served_matches": """
         SELECT b.order_id, r.rule_id, r.consequent[1] AS product_id, r.confidence, r.lift, r.support, r.label
@@ -387,6 +389,9 @@ ROUND_METRICS = ", ".join(
 BODIES = {
     "read_csv_strict": "SELECT product_id, product_name, aisle_id, department_id FROM products",
     "read_csv_split": "SELECT * FROM shop_orders",
+    "read_csv_records": """
+        SELECT product_id, product_name || chr(10) || '"' || product_name || '", and so on' AS product_name, aisle_id,
+          department_id FROM products""",
     "write_and_read_table": "SELECT * FROM items",
     "publish_verified": "SELECT count(*) AS rows_found, CAST(0 AS BIGINT) AS unlabelled, count(*) AS rows_published FROM orders",
     "layer_commits": """
@@ -688,13 +693,14 @@ BODIES = {
     "recommend_topk": "SELECT * FROM topk",
     "coverage_hits": "SELECT * FROM coverage",
     "selection_score": """
-        SELECT config_id, 'PASS' AS status, useful_rules, coalesce(coverage, 0) AS coverage,
-          coalesce(hitrate, 0) AS hitrate, coalesce(conditional_hitrate, 0) AS conditional_hitrate,
-          round(selection_score, 9) AS selection_score FROM scored""",
+        SELECT config_id, CASE WHEN mined THEN 'PASS' ELSE 'FAIL' END AS status, useful_rules,
+          CASE WHEN mined THEN coalesce(coverage, 0) END AS coverage, CASE WHEN mined THEN coalesce(hitrate, 0) END AS hitrate,
+          CASE WHEN mined THEN coalesce(conditional_hitrate, 0) END AS conditional_hitrate,
+          CASE WHEN mined THEN round(selection_score, 9) END AS selection_score FROM scored""",
     "select_config": """
         SELECT config_id, min_support, min_confidence, round(selection_score, 9) AS selection_score FROM scored
-        WHERE useful_rules > 0 AND coverage > 0
-        ORDER BY scored.selection_score DESC, hitrate DESC, min_support DESC, min_confidence DESC, config_id LIMIT 1""",
+        WHERE mined AND useful_rules > 0 AND coverage > 0
+        ORDER BY scored.selection_score DESC, hitrate DESC, fit_seconds, min_support DESC, min_confidence DESC, config_id LIMIT 1""",
     "user_evaluation": f"""
         SELECT c.* REPLACE ({_text('ground_truth', 'context_items')}),
           coalesce(array_to_string(recommendations, ','), '') AS recommendations,

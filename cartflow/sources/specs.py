@@ -15,8 +15,7 @@ from cartflow.functions import checks
 class TableSpec:
     """A source table.
 
-    `free_text` tells that a quoted value may hold line breaks: only then is a CSV file read as a whole by
-    one task; the other files are split across tasks.
+    `free_text` tells that a quoted value may hold line breaks: such a CSV file takes one more pass to be split across tasks.
     """
 
     name: str

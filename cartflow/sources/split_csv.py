@@ -115,10 +115,11 @@ def joined(found: DataFrame, follows: dict[tuple[str, int], tuple[str, int]]) ->
     return whole.unionByName(glued.select("file", "split", "number", "text"))
 
 
-def read_csv_split(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_split(spark: SparkSession, path: str, schema: T.StructType, file: str | None = None) -> DataFrame:
     """The rows of `files.read_csv_strict` with `multi_line`; a file is read by as many tasks as it has splits.
 
-    A differing header or a malformed record fails the job. Empty lines between records are passed over.
+    A differing header or a malformed record fails the job. Empty lines between records are passed over. `file` names a
+    further column for the path of the file.
     """
     found = records(spark, path).withColumn("text", F.regexp_replace("text", r"\r$", ""))
     header = (F.col("split") == 0) & (F.col("number") == 0)
@@ -128,4 +129,5 @@ def read_csv_split(spark: SparkSession, path: str, schema: T.StructType) -> Data
     same = F.when(names == F.array(*[F.lit(n) for n in schema.fieldNames()]), F.lit(False))
     is_row = F.when(header, same.otherwise(F.raise_error(F.lit("the header differs from the schema")).cast("boolean"))).otherwise(F.col("text") != "")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return found.where(is_row).select(F.from_csv("text", ddl, options).alias("row")).select("row.*")
+    rows = found.where(is_row).select(F.from_csv("text", ddl, options).alias("row"), "file")
+    return rows.select("row.*", *([F.col("file").alias(file)] if file else []))
