@@ -729,6 +729,18 @@ BODIES = {
                     ON list_has_all(b.items, r.antecedent) AND NOT list_contains(b.items, r.consequent[1]))
               WHERE place = 1)
         JOIN products USING (product_id) WHERE rank <= 5""",
+    "stream_windows": """
+        SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total
+        FROM events GROUP BY ALL""",
+    "stream_late_rows": "SELECT count(*) AS arrived, count(*) AS counted, CAST(0 AS BIGINT) AS late FROM events",
+    "stream_sessions": """
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS starts,
+          strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS ends, count(*) AS n
+        FROM (SELECT *, sum(CASE WHEN ts - before < INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (
+                PARTITION BY user_id ORDER BY ts, event_id) AS session
+              FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))
+        GROUP BY user_id, session
+        HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
 }
 POWER_TEXT = "CASE WHEN {0} >= 0 THEN CAST(CAST(pow(2.0, {0}) AS BIGINT) AS VARCHAR) ELSE CAST(pow(2.0, {0}) AS VARCHAR) END"
 

@@ -18,6 +18,7 @@ from cartflow.plans.layers import GRID as LAYER_GRID
 from cartflow.plans.retail import FINAL, GRID, Retail
 from cartflow.session import materialize, scratch_path
 from cartflow.sources import commits, files, sampling, split_csv
+from cartflow.streaming import events
 
 BUILDERS: dict[str, Callable[[Retail], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -772,3 +773,40 @@ def product_recommend(r: Retail) -> DataFrame:
     lookup = recommend.recommendation_lookup(r.product_rules)
     kept = ["order_id", "rank", "product_id", "product_name", "source_rule", "rule_id", "confidence", "lift", "support"]
     return recommend.recommend_baskets(r.stored_product_baskets, lookup, r.product_names).select(*kept)
+
+
+# --- event streams ----------------------------------------------------------------------------------------
+
+
+def streamed(r: Retail) -> DataFrame:
+    """The table may be a file or a folder; a pattern serves both."""
+    return events.event_stream(r.spark, f"{r.folder}/events.parque[t]")
+
+
+def day_totals(r: Retail) -> DataFrame:
+    """Streamed in one run; the stored result."""
+    sink = scratch_path(r.spark, "totals")
+    stream = events.windowed_totals(streamed(r))
+    events.run_available(stream, sink, scratch_path(r.spark, "progress"))
+    return events.latest(r.spark, sink, ["starts", "event_type"])
+
+
+@query
+def stream_windows(r: Retail) -> DataFrame:
+    day = F.date_format("starts", "yyyy-MM-dd").alias("day")
+    return day_totals(r).select(day, "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def stream_late_rows(r: Retail) -> DataFrame:
+    return events.late_rows(r.source("events"), day_totals(r))
+
+
+@query
+def stream_sessions(r: Retail) -> DataFrame:
+    """The sessions that are over a day before the last event."""
+    sink = scratch_path(r.spark, "sessions")
+    found = events.sessions(streamed(r), "6 hours")
+    events.run_available(found, sink, scratch_path(r.spark, "progress"), "append")
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return events.written(r.spark, sink).select("user_id", moment("starts"), moment("ends"), "n")
