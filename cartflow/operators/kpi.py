@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from cartflow.operators.frames import beside, stack
 
 
+CUBE = ("department_id", "aisle_id", "order_dow")
+
+
 def kpi_orders(orders: DataFrame) -> DataFrame:
     return orders.agg(
         F.count(F.lit(1)).alias("total_orders"),
@@ -178,3 +181,18 @@ def layer_row_counts(stages: list[tuple[str, str, list[DataFrame], DataFrame]])
     return stack(counts).groupBy("stage", "table").agg(
         F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out")
     )
+
+
+def sales_cube(items: DataFrame, orders: DataFrame, products: DataFrame, sides: tuple[str, ...] = CUBE) -> DataFrame:
+    """Items, reordered items and orders' weekdays over all combinations of `sides`; `level` marks the totals.
+
+    Bit i from the left of `level` is set where side i is summed over, and the side is null there. The items are counted
+    per finest group first, so that the combinations multiply counts and not items.
+    """
+    wide = items.join(orders.select("order_id", "order_dow"), "order_id")
+    finest = wide.groupBy("product_id", "order_dow").agg(F.count(F.lit(1)).alias("n"), F.sum("reordered").alias("again"))
+    named = finest.join(products.select("product_id", "department_id", "aisle_id"), "product_id")
+    counts = named.groupBy(*sides).agg(F.sum("n").alias("n"), F.sum("again").alias("again"))
+    return counts.cube(*sides).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum("n").alias("items"), F.sum("again").alias("reordered_items")
+    )

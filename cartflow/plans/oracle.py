@@ -28,6 +28,15 @@ def _subsets(baskets: str) -> str:
 
 # Views in dependency order.
 VIEWS = {
+    "edited_lines": """
+        SELECT l_orderkey, l_linenumber, l_partkey,
+          l_quantity + CASE WHEN l_partkey % 10 = 1 THEN 1 ELSE 0 END AS l_quantity, l_returnflag
+        FROM lineitem WHERE l_returnflag <> 'R'
+        UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag FROM lineitem
+        WHERE l_returnflag <> 'R' AND l_partkey % 10 = 2""",
+    "both_versions": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, -1 AS n FROM lineitem
+        UNION ALL SELECT *, 1 AS n FROM edited_lines""",
     "order_lines": """
         SELECT l_orderkey AS order_id, l_partkey AS product_id, min(l_linenumber) AS add_to_cart_order
         FROM lineitem GROUP BY ALL""",
@@ -741,6 +750,23 @@ BODIES = {
               FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))
         GROUP BY user_id, session
         HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+    "sales_cube": """
+        SELECT department_id, aisle_id, order_dow, CAST(grouping_id(department_id, aisle_id, order_dow) AS INTEGER) AS level,
+          count(*) AS items, CAST(sum(reordered) AS BIGINT) AS reordered_items
+        FROM items JOIN shop_orders USING (order_id) JOIN products USING (product_id)
+        GROUP BY CUBE (department_id, aisle_id, order_dow)""",
+    "asof_orders": """
+        SELECT event_id, max((o_orderdate, o_orderkey))[2] AS order_id
+        FROM events LEFT JOIN orders ON user_id = o_custkey AND o_orderdate <= ts GROUP BY event_id""",
+    "events_after_orders": """
+        SELECT o_orderkey AS order_id, event_id FROM orders JOIN events
+        ON user_id = o_custkey AND ts >= o_orderdate AND ts < o_orderdate + INTERVAL 30 DAY""",
+    "row_changes": """
+        SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, CAST(sum(n) AS BIGINT) AS times
+        FROM both_versions GROUP BY ALL HAVING sum(n) <> 0""",
+    "key_changes": """
+        SELECT l_orderkey, CASE WHEN min(times) > 0 THEN 'added' WHEN max(times) < 0 THEN 'removed' ELSE 'changed' END AS change
+        FROM (SELECT * EXCLUDE (n), sum(n) AS times FROM both_versions GROUP BY ALL HAVING sum(n) <> 0) GROUP BY l_orderkey""",
 }
 POWER_TEXT = "CASE WHEN {0} >= 0 THEN CAST(CAST(pow(2.0, {0}) AS BIGINT) AS VARCHAR) ELSE CAST(pow(2.0, {0}) AS VARCHAR) END"
 

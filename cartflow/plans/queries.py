@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartflow.functions import checks
 from cartflow.functions.baskets import config_id, rule_label
-from cartflow.operators import kpi, mining, quality, recommend, silver
+from cartflow.operators import changes, kpi, mining, quality, recommend, silver, temporal
 from cartflow.operators.frames import stack
 from cartflow.plans.layers import GRID as LAYER_GRID
 from cartflow.plans.retail import FINAL, GRID, Retail
@@ -559,6 +559,11 @@ def layer_row_counts(r: Retail) -> DataFrame:
     )
 
 
+@query
+def sales_cube(r: Retail) -> DataFrame:
+    return kpi.sales_cube(r.silver_items, r.stored_orders, r.stored_products)
+
+
 # --- itemsets and rules -----------------------------------------------------------------------------------
 
 
@@ -810,3 +815,44 @@ def stream_sessions(r: Retail) -> DataFrame:
     events.run_available(found, sink, scratch_path(r.spark, "progress"), "append")
     moment = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return events.written(r.spark, sink).select("user_id", moment("starts"), moment("ends"), "n")
+
+
+# --- time and versions ------------------------------------------------------------------------------------
+
+
+def placed(r: Retail) -> DataFrame:
+    return r.source("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("placed"), F.col("o_orderkey").alias("order_id"))
+
+
+@query
+def asof_orders(r: Retail) -> DataFrame:
+    """Every event with the last order of its user."""
+    seen = r.source("events").select("event_id", "user_id", "ts")
+    return temporal.asof_join(seen, placed(r), "user_id", "ts", "placed", ["order_id"]).select("event_id", "order_id")
+
+
+@query
+def events_after_orders(r: Retail) -> DataFrame:
+    """Events within 30 days of an order of their user."""
+    seen = r.source("events").select("event_id", "user_id", "ts")
+    return temporal.interval_join(placed(r), seen, "user_id", "placed", "ts", 30).select("order_id", "event_id")
+
+
+def edited(r: Retail) -> DataFrame:
+    """The lines without returned ones, those of one mode twice, others with another quantity."""
+    lines = r.source("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    kept = lines.where("l_returnflag <> 'R'")
+    more = F.when(F.col("l_partkey") % 10 == 1, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    return kept.withColumn("l_quantity", more).unionByName(kept.where("l_partkey % 10 = 2"))
+
+
+@query
+def row_changes(r: Retail) -> DataFrame:
+    lines = r.source("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    return changes.row_changes(lines, edited(r))
+
+
+@query
+def key_changes(r: Retail) -> DataFrame:
+    lines = r.source("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    return changes.key_changes(lines, edited(r), ["l_orderkey"])
