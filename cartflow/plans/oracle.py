@@ -767,6 +767,7 @@ BODIES = {
     "key_changes": """
         SELECT l_orderkey, CASE WHEN min(times) > 0 THEN 'added' WHEN max(times) < 0 THEN 'removed' ELSE 'changed' END AS change
         FROM (SELECT * EXCLUDE (n), sum(n) AS times FROM both_versions GROUP BY ALL HAVING sum(n) <> 0) GROUP BY l_orderkey""",
+    "distinct_users": "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY event_type",
 }
 POWER_TEXT = "CASE WHEN {0} >= 0 THEN CAST(CAST(pow(2.0, {0}) AS BIGINT) AS VARCHAR) ELSE CAST(pow(2.0, {0}) AS VARCHAR) END"
 

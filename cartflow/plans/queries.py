@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cartflow.functions import checks
 from cartflow.functions.baskets import config_id, rule_label
-from cartflow.operators import changes, kpi, mining, quality, recommend, silver, temporal
+from cartflow.operators import changes, kpi, mining, quality, recommend, silver, sketches, temporal
 from cartflow.operators.frames import stack
 from cartflow.plans.layers import GRID as LAYER_GRID
 from cartflow.plans.retail import FINAL, GRID, Retail
@@ -856,3 +856,16 @@ def row_changes(r: Retail) -> DataFrame:
 def key_changes(r: Retail) -> DataFrame:
     lines = r.source("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
     return changes.key_changes(lines, edited(r), ["l_orderkey"])
+
+
+# --- sketches ---------------------------------------------------------------------------------------------
+
+
+@query
+def distinct_users(r: Retail) -> DataFrame:
+    """Distinct users per event type, merged from stored sketches per day, beside the exact numbers."""
+    seen = r.source("events").select("event_type", "user_id", F.to_date("ts").alias("day"))
+    daily = materialize(sketches.distinct_sketches(seen, ["event_type", "day"], "user_id"), "sketches")
+    errors = sketches.estimate_errors(daily, seen, ["event_type"], "user_id")
+    # Six times the standard error.
+    return errors.select("event_type", F.col("exact").alias("users"), (F.col("error") < 0.1).alias("near"))
