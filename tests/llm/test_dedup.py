@@ -58,6 +58,15 @@ def test_banded_alignment_equals_the_full_table():
     assert alignment.within(pairs, 0.8).tolist() == expected
 
 
+def test_forest_follows_long_paths_to_their_end(spark):
+    parents = [(n, n - 1 - n * 7 % min(n, 5)) for n in range(1, 300) if n % 60] + [(1000 + n, 60) for n in range(50)]
+    end = {}
+    for node, parent in sorted(parents):
+        end[node] = end.setdefault(parent, parent)
+    assert {r.node: r.root for r in components.forest(spark.createDataFrame(parents, "u int, v int")).collect()} == end
+    assert components.forest(spark.createDataFrame([], "u int, v int")).isEmpty()
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     edges = [(f"{i:03d}", f"{i + 1:03d}") for i in range(20)] + [("100", f"{i}") for i in range(101, 140)] + [("200", "200")]
     found = components.components(spark.createDataFrame(edges, "u string, v string"))
