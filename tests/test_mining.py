@@ -193,3 +193,16 @@ def test_filters_include_their_thresholds(retail):
     kept = mining.filter_rules(rules, edge.support, edge.confidence, edge.lift)
     assert edge.rule_id in {r.rule_id for r in kept.collect()}
     assert [r["rank"] for r in mining.top_rules(rules, 0.001, 7).collect()] == list(range(1, 8))
+
+
+def test_equal_baskets_are_mined_once(spark, monkeypatch):
+    """One basket 5,000 times beside 40 rare ones, in any order of items: the miner meets 41 rows, the counts are of all."""
+    rng = random.Random(5)
+    rare = [sorted(rng.sample(range(10, 40), 4)) for _ in range(40)]
+    baskets = [[1, 2, 3], [3, 1, 2]] * 2_500 + rare
+    training = spark.createDataFrame([(i, b) for i, b in enumerate(baskets)], "order_id int, items array<int>")
+    stored, store = {}, partition_mining.materialize
+    monkeypatch.setattr(partition_mining, "materialize", lambda df, name: stored.setdefault(name, store(df, name)))
+    found = partition_mining.partition_itemsets(training, 2, len(baskets), 3).collect()
+    assert stored["different_baskets"].count() == len({tuple(sorted(b)) for b in baskets})
+    assert {tuple(r["items"]): r.freq for r in found} == brute_force([sorted(b) for b in baskets], 2 / len(baskets))
