@@ -370,3 +370,57 @@ def test_short_items_and_odd_rows(spark, odd_docs, no_docs):
     assert clean.schema == odd_docs.schema and clean.count() == 11
     assert decontam.clean_documents(odd_docs, items.limit(0)).count() == 12
     assert decontam.matches(no_docs, items).count() == 0
+
+
+def chains(rng, vocabulary, steps):
+    """Texts that hold one line, each near the one before it and far from the others: the line's buckets hold them all."""
+    line = [rng.choice(vocabulary) for _ in range(40)]
+    texts = []
+    for _ in range(30):
+        now = [rng.choice(vocabulary) for _ in range(80)]
+        for _ in range(steps):
+            texts.append(" ".join(now[:40] + line + now[40:]))
+            now = list(now)
+            for at in rng.sample(range(80), 20):
+                now[at] = rng.choice(vocabulary)
+    return texts
+
+
+def test_links_without_a_centre_are_found(spark):
+    """Every pair that shares a key and aligns is in one class, also in buckets of many classes."""
+    rng = random.Random(31)
+    texts = chains(rng, [f"w{i}" for i in range(5000)], 5)
+    coded = [np.array([int(w[1:]) for w in t.split()], np.uint16) for t in texts]
+    seeds = near_dedup.mixed(np.arange(1, near_dedup.SKETCHES + 1, dtype=np.uint64) * near_dedup.ODD)
+    hashed = [np.array([near_dedup.xxhash.xxh64_intdigest(w) for w in t.split()], np.uint64) for t in texts]
+    keys = [{(i, k) for i, k in enumerate(near_dedup.sketches(h, seeds))} for h in hashed]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if keys[a] & keys[b]]
+    similar = alignment.within([(coded[a], coded[b]) for a, b in pairs], 0.8)
+    linked = [p for p, s in zip(pairs, similar, strict=True) if s]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, texts)).collect()}
+    assert len(linked) > 50 and all(got[a] == got[b] for a, b in linked)
+    assert all(got[a] // 5 == a // 5 for a in got)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.8, 0.9])
+def test_rest_holds_every_link(spark, similarity):
+    """Of texts of 1 to 40 words, all in one bucket and each a class, every pair that aligns is among the pairs."""
+    rng = random.Random(32)
+    texts = []
+    for _ in range(60):
+        now = [rng.randrange(30) for _ in range(rng.randint(1, 40))]
+        for _ in range(4):
+            texts.append(now)
+            now = [rng.randrange(30) if rng.random() < 0.12 else w for w in now][: rng.randint(1, 44)]
+    coded = list({np.array(t, np.uint16).tobytes() for t in texts})
+    rows = [(k.to_bytes(2, "big"), bytearray(c), len(c) // 2) for k, c in enumerate(coded)]
+    words = spark.createDataFrame([r[:2] for r in rows], "node binary, words binary")
+    members = spark.createDataFrame([(1, r[0], r[2]) for r in rows], "key bigint, node binary, length int")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    found = near_dedup.rest(members, roots, words, similarity).collect()
+    got = {frozenset(int.from_bytes(x, "big") for x in r) for r in found}
+    read = [np.frombuffer(c, np.uint16) for c in coded]
+    pairs = [(a, b) for a in range(len(read)) for b in range(a)]
+    similar = alignment.within([(read[a], read[b]) for a, b in pairs], similarity)
+    links = {frozenset(p) for p, s in zip(pairs, similar, strict=True) if s}
+    assert len(links) > 10 and links <= got
