@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cartflow.operators import recommend, silver
+from cartflow.functions.baskets import items_of_bits, set_bits, set_of
+from cartflow.operators import mining, recommend, silver
 from cartflow.plans.ordering import number_within
 from cartflow.plans.queries import BUILDERS
 from cartflow.plans.retail import Retail
@@ -49,23 +50,43 @@ def by_numbers(placed, lines):
 @pytest.mark.parametrize("codes", [None, range(-2, 131), range(-99, 1000)])
 def test_splits_equal_those_of_numbered_orders(rows, codes):
     placed, lines = rows
-    split = silver.split_baskets(lines, placed, "product_id", codes)
+    gathered, items = set_of("product_id"), F.col("items")
+    if codes:
+        gathered, items = set_bits("product_id", codes), items_of_bits(codes)
+    sets = silver.split_sets(lines, placed, gathered)
+    split = silver.split_baskets(sets, codes)
     baskets, orders = by_numbers(placed, lines)
     kept = ["order_id", "user_id", "items", "basket_size", "eval_set"]
     expected = baskets.join(orders.select("order_id", "eval_set"), "order_id").select(*kept)
     assert sorted(split.select(*kept).collect()) == sorted(expected.collect())
     assert {r.eval_set for r in expected.collect()} == {"prior", "train"}
-    pairs = recommend.eval_contexts(*recommend.target_and_context(split)).select("user_id", "ground_truth", "context_items")
+    pairs = recommend.eval_contexts(*recommend.target_and_context(sets, items)).select("user_id", "ground_truth", "context_items")
     truth, context = recommend.ground_truth(baskets, orders), recommend.latest_context(baskets, orders)
     expected = recommend.eval_contexts(truth, context).select(*pairs.columns)
     assert sorted(pairs.collect()) == sorted(expected.collect()) != []
 
 
+def test_baskets_counted_as_bits_are_mined_alike(rows):
+    placed, lines = rows
+    codes = range(-2, 131)
+    sets = silver.split_sets(lines, placed, set_bits("product_id", codes))
+    training = silver.prior_baskets(silver.split_baskets(sets, codes), 2)
+    counted = silver.counted_baskets(sets, codes, 2)
+    assert counted.count() < training.count() == mining.count_baskets(counted)
+    mined = [sorted(map(tuple, mining.two_pass_itemsets(df, 0.1).collect())) for df in (training, counted)]
+    assert mined[0] == mined[1] != []
+    with pytest.raises(ValueError, match="counted"):
+        mining.frequent_itemsets(counted, 0.1)
+
+
 def test_no_item_is_listed(rows):
     placed, lines = rows
     nothing = lines.where("known is null")
-    for codes in (None, range(0)):
-        assert silver.split_baskets(nothing, placed, "product_id", codes).count() == 0
+    for codes, gathered in ((None, set_of("product_id")), (range(0), set_bits("product_id", range(0)))):
+        sets = silver.split_sets(nothing, placed, gathered)
+        assert silver.split_baskets(sets, codes).collect() == []
+        if codes is not None:
+            assert silver.counted_baskets(sets, codes, 2).collect() == []
 
 
 @pytest.mark.parametrize(
