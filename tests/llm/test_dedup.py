@@ -58,6 +58,44 @@ def test_banded_alignment_equals_the_full_table():
     assert alignment.within(pairs, 0.8).tolist() == expected
 
 
+def test_pairs_that_end_or_are_above_the_width_leave_the_band(monkeypatch):
+    """A long pair among short ones does not make these as long: the cells met stay near the sum of the lengths."""
+    random_ = np.random.default_rng(1)
+    pairs = []
+    for n in [3000] + [30] * 300:
+        a = random_.integers(0, 60000, n).astype(np.uint16)
+        b = a.copy()
+        b[:: n // 4] += 1
+        pairs.append((a, b))
+    met, least = [], np.minimum
+
+    class Counting:
+        accumulate = staticmethod(lambda x, *args, **kwargs: met.append(len(x)) or least.accumulate(x, *args, **kwargs))
+
+        def __call__(self, *args, **kwargs):
+            return least(*args, **kwargs)
+
+    monkeypatch.setattr(alignment.np, "minimum", Counting())
+    found = alignment.band_distances(pairs, 8)
+    monkeypatch.undo()
+    assert found.tolist() == [edits(a[:30].tolist(), b[:30].tolist()) if len(a) == 30 else int((a != b).sum()) for a, b in pairs]
+    assert sum(met) < 2 * sum(len(a) for a, _ in pairs)
+
+
+def test_tables_between_the_steps_are_deleted(spark):
+    """Of all that near_dedup stores only the sketches and the classes stay, which the result reads."""
+    from pathlib import Path
+
+    from cartflow.session import scratch_root
+
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = {p.name for p in root.glob("*")} if root.exists() else set()
+    rng = random.Random(31)
+    near_dedup.classes(frame(spark, chains(rng, [f"w{i}" for i in range(5000)], 5))).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in root.glob("*") if p.name not in before}
+    assert left & {"sketches"} and not left & {"shared", "members", "words", "candidates", "unsettled", "leading", "met", "rest"}
+
+
 def test_forest_follows_long_paths_to_their_end(spark):
     parents = [(n, n - 1 - n * 7 % min(n, 5)) for n in range(1, 300) if n % 60] + [(1000 + n, 60) for n in range(50)]
     end = {}
