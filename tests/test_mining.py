@@ -206,3 +206,21 @@ def test_equal_baskets_are_mined_once(spark, monkeypatch):
     found = partition_mining.partition_itemsets(training, 2, len(baskets), 3).collect()
     assert stored["different_baskets"].count() == len({tuple(sorted(b)) for b in baskets})
     assert {tuple(r["items"]): r.freq for r in found} == brute_force([sorted(b) for b in baskets], 2 / len(baskets))
+
+
+def test_counted_baskets_are_mined_as_they_are(spark, monkeypatch):
+    """They were grouped and stored a second time. Rows that repeat or are not sorted count alike."""
+    rng = random.Random(8)
+    rows = [(rng.sample(range(9), rng.randint(1, 6)), rng.randint(1, 4)) for _ in range(300)]
+    counted = spark.createDataFrame(rows, "items array<int>, n long")
+    single = spark.createDataFrame([(sorted(items),) for items, n in rows for _ in range(n)], "items array<int>")
+    stored = []
+    kept = partition_mining.materialize
+    monkeypatch.setattr(partition_mining, "materialize", lambda df, name: stored.append(name) or kept(df, name))
+    total = single.count()
+    for parts in (1, 4):
+        found = partition_mining.partition_itemsets(counted, 60, total, parts).collect()
+        assert "different_baskets" not in stored
+        expected = partition_mining.partition_itemsets(single, 60, total, parts).collect()
+        assert sorted(found) == sorted(expected) != []
+        stored.clear()
