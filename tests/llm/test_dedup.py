@@ -462,3 +462,26 @@ def test_rest_holds_every_link(spark, similarity):
     similar = alignment.within([(read[a], read[b]) for a, b in pairs], similarity)
     links = {frozenset(p) for p, s in zip(pairs, similar, strict=True) if s}
     assert len(links) > 10 and links <= got
+
+
+def test_rest_leaves_out_pairs_with_few_common_runs(spark):
+    """Texts of one bucket that have one run of five words in common are no pairs, those that are a link are; small buckets give all links."""
+    rng = random.Random(33)
+    texts = [[rng.randrange(50_000) for _ in range(100)] for _ in range(60)]
+    for k in range(0, 50, 2):
+        texts[k + 1][20:25] = texts[k][40:45]
+    for k in range(50, 60, 2):
+        texts[k + 1] = texts[k][:45] + [rng.randrange(50_000) for _ in range(18)] + texts[k][63:]
+    ids = [k.to_bytes(2, "big") for k in range(60)]
+    rows = [(i, bytearray(np.array(t, np.uint16).tobytes())) for i, t in zip(ids, texts, strict=True)]
+    words = spark.createDataFrame(rows, "node binary, words binary")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    links = {(k, k + 1) for k in range(50, 60, 2)}
+
+    def found(buckets):
+        members = spark.createDataFrame([(key, i, 100) for key, i in zip(buckets, ids, strict=True)], "key bigint, node binary, length int")
+        rows = near_dedup.rest(members, roots, words, 0.8).collect()
+        return {tuple(sorted(int.from_bytes(x, "big") for x in r)) for r in rows}
+
+    assert found([1] * 60) == links
+    assert links <= found([k // 10 for k in range(60)])
