@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import xxhash
@@ -68,6 +68,17 @@ def literal_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest("literal " + (EDGES.sub("", w) or w).lower()) for w in words], np.uint64)
 
 
+class Codes(dict):
+    """Codes of written words; `code` gives and remembers that of a new one."""
+
+    def __init__(self, code: Callable[[str], int]):
+        super().__init__()
+        self.code = code
+
+    def __missing__(self, written: str) -> int:
+        return self.code(written)
+
+
 class Canon:
     """Template words by a table of distinct written words; the table starts anew beyond `limit` words."""
 
@@ -78,7 +89,7 @@ class Canon:
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = Codes(self.code)
         self.kind = np.zeros(1024, np.int8)
         self.ends = np.zeros(1024, bool)
         self.hash = np.zeros(1024, np.uint64)
@@ -87,16 +98,22 @@ class Canon:
         at = self.codes[written] = len(self.codes)
         if at >= len(self.kind):
             self.kind, self.ends, self.hash = (np.concatenate((x, np.zeros_like(x))) for x in (self.kind, self.ends, self.hash))
-        word = EDGES.sub("", written)
+        # Letters alone have no edges, are no number and end no sentence.
+        letters = written.isalpha()
+        word = written if letters else EDGES.sub("", written)
         lower = word.lower()
         kind = self.kinds.get(lower, CAPITAL if word[:1].isupper() else LITERAL)
-        if not word:
+        if letters:
+            pass
+        elif not word:
             kind = NOTHING
         elif NUMERIC.fullmatch(word.strip("$€£")):
             kind = NUMBER
         elif lower in "%$€£":
             kind = UNIT
-        self.kind[at], self.ends[at] = kind, written.rstrip("\"')]")[-1:] in (".", "!", "?")
+        self.kind[at] = kind
+        if not letters:
+            self.ends[at] = written.rstrip("\"')]")[-1:] in (".", "!", "?")
         self.hash[at] = self.holders[kind] if kind in (NUMBER, UNIT) else xxhash.xxh64_intdigest(lower)
         return at
 
@@ -109,8 +126,7 @@ class Canon:
         """
         if len(self.codes) > self.limit:
             self.clear()
-        known = self.codes.get
-        codes = np.array([c if (c := known(w)) is not None else self.code(w) for w in words], np.int64)
+        codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         at = np.flatnonzero(self.kind[codes] != NOTHING)
         codes = codes[at]
         kind = self.kind[codes]
@@ -132,7 +148,8 @@ def runs_of(hashes: np.ndarray, size: int) -> np.ndarray:
     out = np.full(max(0, n), size, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size if n > 0 else 0):
-            out = (out + hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out += hashes[k : k + n]
+            out *= np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(32)
     return out.view(np.int64)
 
@@ -258,10 +275,12 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
 
         def windows_of(text: str) -> list[dict]:
             words, out = words_of(text), []
-            for size in literal:
-                # One or two words count as the whole document only.
-                if len(words) >= size and (size >= SHORT or len(words) == size):
-                    found = runs_of(known_words(words), size)
+            # One or two words count as the whole document only.
+            looked = [size for size in literal if len(words) >= size and (size >= SHORT or len(words) == size)]
+            if looked:
+                hashes = known_words(words)
+                for size in looked:
+                    found = runs_of(hashes, size)
                     out += [{"hash": int(found[i]), "at": i, "size": -size, "slots": []} for i in passing(found).tolist()]
             templates = canon.templates(words)
             for size in plain:

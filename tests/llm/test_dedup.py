@@ -485,3 +485,19 @@ def test_rest_leaves_out_pairs_with_few_common_runs(spark):
 
     assert found([1] * 60) == links
     assert links <= found([k // 10 for k in range(60)])
+
+
+def test_words_of_letters_alone_need_no_patterns(monkeypatch):
+    """They are coded as the patterns would code them, which all other words go through."""
+    words = "Plain words, Über 12kg seven km Ünit ² ٣ _x Ⅷ ǅ 日本 (end.) A".split()
+    whole = decontam.Canon()
+    whole.templates(words)
+    for word, code in whole.codes.items():
+        bare = decontam.EDGES.sub("", word)
+        kind = whole.kinds.get(bare.lower(), decontam.CAPITAL if bare[:1].isupper() else decontam.LITERAL)
+        number = bool(decontam.NUMERIC.fullmatch(bare.strip("$€£")))
+        assert whole.kind[code] == (decontam.NOTHING if not bare else decontam.NUMBER if number else kind)
+        assert whole.ends[code] == (word.rstrip("\"')]")[-1:] in tuple(".!?"))
+    monkeypatch.setattr(decontam, "EDGES", None)
+    monkeypatch.setattr(decontam, "NUMERIC", None)
+    decontam.Canon().templates([w for w in words if w.isalpha()])
