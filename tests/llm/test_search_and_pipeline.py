@@ -1,6 +1,7 @@
 """MaxScore against the full product, and the pipeline against its stages by brute force."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -50,6 +51,27 @@ def test_sparse_vectors_ties_and_chunks(spark, monkeypatch):
     assert got == expected
 
 
+@pytest.mark.parametrize("widest", [3, 5_000, 10**8])
+def test_a_block_of_queries_at_once(monkeypatch, widest):
+    """Lists of all lengths, values beyond what narrow floats hold, repeated ids, queries of another length."""
+    random = np.random.default_rng(widest)
+    monkeypatch.setattr(maxscore, "CHUNK", 16)
+    values = random.integers(-widest, widest + 1, (200, 8)) * (random.random((200, 8)) < np.linspace(0.1, 1, 8))
+    ids, asked, own = random.integers(0, 150, 200), random.integers(-widest, widest + 1, (40, 6)), random.integers(0, 150, 40)
+    place, vec_id, score = maxscore.Postings(ids, values).top_each(asked, own, 5)
+    for n, (query, me) in enumerate(zip(asked.tolist(), own.tolist(), strict=True)):
+        scores = sorted((-sum(q * x for q, x in zip(query, v, strict=False)), i) for v, i in zip(values.tolist(), ids.tolist(), strict=True) if i != me)
+        assert list(zip((-score[place == n]).tolist(), vec_id[place == n].tolist(), strict=True)) == scores[:5]
+
+
+def test_rows_are_not_copied_for_every_block(spark, sample):
+    vectors = maxscore.quantised(spark.read.parquet(f"{sample}/embeddings.parquet"))
+    found = maxscore.search(vectors, vectors.where("vec_id % 50 = 0"), shard_rows=100, block=2)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    # 500 rows in 5 shards, 10 queries in 5 blocks: the queries go to every shard, the rows are copied once.
+    assert sorted(re.findall(r"sequence\(0, (\d+)", plan)) == ["0", "4"]
+
+
 def test_zero_rows_beat_a_negative_score(monkeypatch):
     monkeypatch.setattr(maxscore, "CHUNK", 4)
     values = np.concatenate((np.arange(1, 25).reshape(8, 3), np.zeros((4, 3)))).astype(np.int64)
