@@ -58,6 +58,46 @@ def test_banded_alignment_equals_the_full_table():
     assert alignment.within(pairs, 0.8).tolist() == expected
 
 
+def edited(random, words, count, vocabulary):
+    out = list(words)
+    for kind, at in zip(random.integers(0, 3, count), random.random(count), strict=True):
+        at = int(at * (len(out) + (kind == 0)))
+        out[at : at + (kind > 0)] = [int(random.integers(vocabulary))] if kind < 2 else []
+    return np.array(out, np.uint16)
+
+
+@pytest.mark.parametrize("vocabulary", [2, 5, 40, 60_000])
+def test_bounds_of_the_distance(vocabulary):
+    random = np.random.default_rng(vocabulary)
+    for n in range(200):
+        a = random.integers(0, vocabulary, random.integers(4, 40)).astype(np.uint16)
+        b = edited(random, a, int(random.integers(0, 4)), vocabulary)
+        b = random.permutation(b) if n % 9 == 0 else b
+        distance = edits(a.tolist(), b.tolist())
+        assert alignment.replaced(a, b) >= distance and alignment.aligned_edits(a, b) >= distance
+        # Words beyond 16 bits are not taken for others.
+        assert alignment.aligned_edits(a.astype(np.int64), b.astype(np.int64) + (1 << 48)) == max(len(a), len(b))
+
+
+def test_edited_copies_need_no_band(monkeypatch):
+    random = np.random.default_rng(3)
+    words = random.integers(0, 60_000, (50, 300)).astype(np.uint16)
+    pairs = [(w, edited(random, w, 30, 60_000)) for w in words]
+    monkeypatch.setattr(alignment, "band_distances", None)
+    assert alignment.within(pairs, 0.8).all()
+
+
+def test_a_larger_table_has_a_larger_sample(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "COMMON_TEXTS", 10)
+    random = np.random.default_rng(4)
+    passage = random.integers(0, 60_000, 20)
+    texts = [np.concatenate((random.integers(0, 60_000, 30), passage if n % 4 == 0 else [])).astype(np.uint16) for n in range(800)]
+    frame = spark.createDataFrame([(bytearray(str(n).encode()), bytearray(w.tobytes())) for n, w in enumerate(texts)], "node binary, words binary")
+    known, often = near_dedup.common_grams(frame, 3)
+    assert set(near_dedup.grams_of(passage.astype(np.uint16), 3)[2:-2].tolist()) <= set(known.tolist())
+    assert (np.diff(known) > 0).all() and often.min() >= near_dedup.COMMON
+
+
 def test_pairs_that_end_or_are_above_the_width_leave_the_band(monkeypatch):
     """A long pair among short ones does not make these as long: the cells met stay near the sum of the lengths."""
     random_ = np.random.default_rng(1)
