@@ -24,6 +24,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -38,6 +40,7 @@ SHARE = 0.5
 RUN = 13  # template words of an item in a row
 COMMON = 50  # items that hold a window, beyond which it tells little
 SHORT = 3  # literal words, below which an item must be a whole document
+BLOCK = 1 << 20  # characters of the texts that become templates together
 FILTER_BITS = 24  # of the Bloom filter over the benchmark's windows; its size does not depend on the benchmark
 
 LITERAL, NUMBER, UNIT, CAPITAL, NOTHING = range(5)
@@ -54,6 +57,7 @@ UNIT_WORDS = (
 ).split()
 NUMERIC = re.compile(r"[+-]?\d[\d.,:/]*(?:%|[^\W\d_]{1,3})?")
 EDGES = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
+PUNCTUATION = ".,;:!?\"'()[]{}<>|*#-/"  # of what EDGES removes, the characters that most words have at their edges
 # Scripts without spaces: Thai to Khmer, kana, Han and their extensions.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 UNSPACED_TEXT, WORD = re.compile(f"[{UNSPACED}]"), re.compile(rf"[{UNSPACED}]|[^\s{UNSPACED}]+")
@@ -68,6 +72,19 @@ def literal_hashes(words: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest("literal " + (EDGES.sub("", w) or w).lower()) for w in words], np.uint64)
 
 
+class Template(NamedTuple):
+    """Per template word its hash, the kind of its placeholder or 0, where it starts and ends in the written words, its
+    place in its text, whether it is a name only here, and the number of its text."""
+
+    hashes: np.ndarray
+    holder: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    place: np.ndarray
+    only: np.ndarray
+    text: np.ndarray
+
+
 class Codes(dict):
     """Codes of written words; `code` gives and remembers that of a new one."""
 
@@ -98,9 +115,10 @@ class Canon:
         at = self.codes[written] = len(self.codes)
         if at >= len(self.kind):
             self.kind, self.ends, self.hash = (np.concatenate((x, np.zeros_like(x))) for x in (self.kind, self.ends, self.hash))
-        # Letters alone have no edges, are no number and end no sentence.
-        letters = written.isalpha()
-        word = written if letters else EDGES.sub("", written)
+        # Letters alone are no number; without punctuation around them they end no sentence.
+        word = written.strip(PUNCTUATION)
+        letters = word.isalpha()
+        word = word if letters else EDGES.sub("", written)
         lower = word.lower()
         kind = self.kinds.get(lower, CAPITAL if word[:1].isupper() else LITERAL)
         if letters:
@@ -112,34 +130,38 @@ class Canon:
         elif lower in "%$€£":
             kind = UNIT
         self.kind[at] = kind
-        if not letters:
+        if len(word) < len(written):
             self.ends[at] = written.rstrip("\"')]")[-1:] in (".", "!", "?")
         self.hash[at] = self.holders[kind] if kind in (NUMBER, UNIT) else xxhash.xxh64_intdigest(lower)
         return at
 
-    def templates(self, words: list[str]) -> list[tuple[np.ndarray, ...]]:
-        """Per template word its hash, the kind of its placeholder or 0, where it starts in `words`, its place and
-        whether it is a name only here.
+    def templates(self, words: list[str], sizes: list[int] | None = None) -> list[Template]:
+        """The templates of the texts of so many words each, one after the other; of one text if there are no sizes.
 
         A capitalised word is a name; one that starts a sentence is plain in the first template and a name in the
         second. Names in a row are one. Places count the words of the first template in both.
         """
         if len(self.codes) > self.limit:
             self.clear()
+        stops = np.cumsum(sizes or [len(words)])
         codes = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         at = np.flatnonzero(self.kind[codes] != NOTHING)
-        codes = codes[at]
+        codes, text = codes[at], np.searchsorted(stops, at, "right")
         kind = self.kind[codes]
-        goes_on = np.concatenate(([False], ~self.ends[codes][:-1]))[: len(codes)]
+        goes_on = np.concatenate(([False], ~self.ends[codes][:-1] & (text[1:] == text[:-1])))[: len(codes)]
         out, place = [], None
         for name in (first := (kind == CAPITAL) & goes_on, kind == CAPITAL):
             kept = np.ones(len(codes), bool)
             kept[1:] = ~(name[1:] & name[:-1] & goes_on[1:])
-            place = np.cumsum(kept) - 1 if place is None else place
+            if place is None:
+                place = np.cumsum(kept)
+                place -= place[np.searchsorted(text, text)]
             hashes = np.where(name, self.holders[3], self.hash[codes])
             holder = np.where(name, CAPITAL, np.where((kind == NUMBER) | (kind == UNIT), kind, 0))
-            out.append((hashes[kept], holder[kept], at[kept], place[kept], (name & ~first)[kept]))
-        return out if out[1][4].any() else out[:1]
+            start, owner = at[kept], text[kept]
+            stop = np.minimum(np.append(start[1:], stops[-1:]), stops[owner])
+            out.append(Template(hashes[kept], holder[kept], start, stop, place[kept], (name & ~first)[kept], owner))
+        return out if out[1].only.any() else out[:1]
 
 
 def runs_of(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -162,32 +184,29 @@ def window_hashes(hashes: np.ndarray, holder: np.ndarray, size: int) -> tuple[np
     return start, found[start]
 
 
-def windows_both_ways(templates: list[tuple[np.ndarray, ...]], size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per template its index, and the starts and hashes of its windows; of the second those with a name only there."""
-    for number, (hashes, holder, _, _, only) in enumerate(templates):
-        start, found = window_hashes(hashes, holder, size)
+def windows_both_ways(templates: list[Template], size: int) -> Iterator[tuple[Template, np.ndarray, np.ndarray]]:
+    """Per template the starts and hashes of its windows, each in one text; of the second those with a name only there."""
+    for number, template in enumerate(templates):
+        start, found = window_hashes(template.hashes, template.holder, size)
+        own = template.text[start] == template.text[start + size - 1]
         if number:
-            seen = np.concatenate(([0], np.cumsum(only)))
-            own = seen[start + size] > seen[start]
-            start, found = start[own], found[own]
-        yield number, start, found
+            seen = np.concatenate(([0], np.cumsum(template.only)))
+            own &= seen[start + size] > seen[start]
+        yield template, start[own], found[own]
 
 
 Slot = tuple[int, str]  # kind and written value
 
 
-def slots(words: list[str], at: np.ndarray, holder: np.ndarray, start: int, size: int) -> list[Slot]:
+def slots(words: list[str], template: Template, start: int, size: int) -> list[Slot]:
     """The placeholders of a window, in order."""
-    ends = np.append(at, len(words))
-    return [
-        (int(holder[i]), " ".join(EDGES.sub("", w) for w in words[at[i] : ends[i + 1]]).strip())
-        for i in range(start, start + size)
-        if holder[i]
-    ]
+    held = start + np.flatnonzero(template.holder[start : start + size])
+    spans = zip(template.holder[held].tolist(), template.start[held].tolist(), template.stop[held].tolist(), strict=True)
+    return [(kind, " ".join(EDGES.sub("", w) for w in words[a:b]).strip()) for kind, a, b in spans]
 
 
-def window(words: list[str], at: np.ndarray, holder: np.ndarray, place: np.ndarray, start: int, found: int, size: int) -> dict:
-    return {"hash": found, "at": int(place[start]), "size": size, "slots": slots(words, at, holder, start, size)}
+def window(words: list[str], template: Template, start: int, found: int, size: int) -> dict:
+    return {"hash": found, "at": int(template.place[start]), "size": size, "slots": slots(words, template, start, size)}
 
 
 def literal_windows(words: list[str], size: int) -> list[dict]:
@@ -211,16 +230,15 @@ def item_windows(benchmark: DataFrame, share: float = SHARE) -> DataFrame:
             for text in rows["text"]:
                 words = words_of(text)
                 templates = canon.templates(words)
-                hashes, holder, at, _, _ = templates[0]
-                values = slots(words, at, holder, 0, len(hashes))
+                hashes = templates[0].hashes
+                values = slots(words, templates[0], 0, len(hashes))
                 first = {v: i for i, v in reversed(list(enumerate(values)))}
                 pattern = hashes.tobytes() + repr([first[v] for v in values]).encode()
                 windows = []
-                for size in sorted({max(1, min(WINDOW, len(t[0]))) for t in templates}):
-                    for number, start, found in windows_both_ways(templates, size):
-                        _, holder, at, place, _ = templates[number]
-                        if size == max(1, min(WINDOW, len(at))):
-                            windows += [window(words, at, holder, place, s, h, size) for s, h in zip(start.tolist(), found.tolist(), strict=True)]
+                for size in sorted({max(1, min(WINDOW, len(t.hashes))) for t in templates}):
+                    for template, start, found in windows_both_ways(templates, size):
+                        if size == max(1, min(WINDOW, len(template.hashes))):
+                            windows += [window(words, template, s, h, size) for s, h in zip(start.tolist(), found.tolist(), strict=True)]
                 if words and not windows:
                     windows = literal_windows(words, min(WINDOW, len(words)))
                     pattern = literal_hashes(words).tobytes()
@@ -256,6 +274,16 @@ def bloom(windows: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
+def together(texts: list[str], characters: int = BLOCK) -> Iterator[list[str]]:
+    """The texts in blocks that end with the text that reaches the number of characters."""
+    first = size = 0
+    for n, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= characters or n == len(texts):
+            yield texts[first:n]
+            first, size = n, 0
+
+
 def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
     """doc_id, node and those windows that the filter lets pass. No shuffle."""
     width = int(len(bits)).bit_length() + 5
@@ -273,25 +301,28 @@ def document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> Dat
             slot = found & ((1 << width) - 1)
             return np.flatnonzero(known[slot >> 6] >> (found & 63) & 1)
 
-        def windows_of(text: str) -> list[dict]:
-            words, out = words_of(text), []
+        def literal_windows_of(words: list[str]) -> list[dict]:
             # One or two words count as the whole document only.
             looked = [size for size in literal if len(words) >= size and (size >= SHORT or len(words) == size)]
-            if looked:
-                hashes = known_words(words)
-                for size in looked:
-                    found = runs_of(hashes, size)
-                    out += [{"hash": int(found[i]), "at": i, "size": -size, "slots": []} for i in passing(found).tolist()]
-            templates = canon.templates(words)
+            out, hashes = [], known_words(words) if looked else None
+            for size in looked:
+                found = runs_of(hashes, size)
+                out += [{"hash": int(found[i]), "at": i, "size": -size, "slots": []} for i in passing(found).tolist()]
+            return out
+
+        def windows_of(texts: list[str]) -> list[list[dict]]:
+            split = [words_of(text) for text in texts]
+            out, words = [literal_windows_of(w) for w in split], list(chain.from_iterable(split))
+            templates = canon.templates(words, list(map(len, split)))
             for size in plain:
-                for number, start, found in windows_both_ways(templates, size):
-                    _, holder, at, place, _ = templates[number]
+                for template, start, found in windows_both_ways(templates, size):
                     for i in passing(found).tolist():
-                        out.append(window(words, at, holder, place, int(start[i]), int(found[i]), size))
+                        at = int(start[i])
+                        out[template.text[at]].append(window(words, template, at, int(found[i]), size))
             return out
 
         def step(rows: dict) -> dict:
-            return {"doc_id": rows["doc_id"], "node": rows["node"], "windows": [windows_of(t) for t in rows["text"]]}
+            return {"doc_id": rows["doc_id"], "node": rows["node"], "windows": [w for texts in together(rows["text"]) for w in windows_of(texts)]}
 
         return step
 

@@ -541,3 +541,35 @@ def test_words_of_letters_alone_need_no_patterns(monkeypatch):
     monkeypatch.setattr(decontam, "EDGES", None)
     monkeypatch.setattr(decontam, "NUMERIC", None)
     decontam.Canon().templates([w for w in words if w.isalpha()])
+
+
+def test_words_with_punctuation_around_letters_need_no_patterns(monkeypatch):
+    words = "(end.) \"Plain,\" Über: ünit! 日本? -Ⅷ".split()
+    by_patterns = [decontam.EDGES.sub("", w) for w in words]
+    monkeypatch.setattr(decontam, "EDGES", None)
+    canon = decontam.Canon()
+    canon.templates(words[:-1])
+    for word, bare in zip(words[:-1], by_patterns, strict=False):
+        assert canon.kind[canon.codes[word]] == (decontam.CAPITAL if bare[0].isupper() else decontam.LITERAL)
+        assert canon.ends[canon.codes[word]] == (word in ("(end.)", "ünit!", "日本?"))
+
+
+def test_texts_together_have_their_own_templates():
+    """Also where texts are empty, end with signs alone, or a name ends one text and starts the next."""
+    texts = ["We met Anna Bell", "Carl Dee went. Eve paid 3 dollars |", "", "| -", "- Bob ate 12kg of them. | Next", "plain words only"] * 2
+    split = [t.split() for t in texts]
+    words = [w for s in split for w in s]
+    together = decontam.Canon().templates(words, [len(s) for s in split])
+    starts = np.cumsum([0] + [len(s) for s in split])
+    for n, alone in enumerate(split):
+        for number, template in enumerate(decontam.Canon().templates(alone)):
+            whole = together[number]
+            mine = whole.text == n
+            for name in ("hashes", "holder", "place", "only"):
+                assert getattr(whole, name)[mine].tolist() == getattr(template, name).tolist()
+            assert (whole.start[mine] - starts[n]).tolist() == template.start.tolist()
+            assert (whole.stop[mine] - starts[n]).tolist() == template.stop.tolist()
+    for size in (1, 3):
+        for template, start, _ in decontam.windows_both_ways(together, size):
+            assert (template.text[start] == template.text[start + size - 1]).all()
+    assert list(decontam.together(["ab", "", "c", "defg", "h"], 3)) == [["ab", "", "c"], ["defg"], ["h"]]
